@@ -4,17 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loomline.llm.ngram_join import near_duplicates
+from loomline.llm.packing import packed
+from loomline.llm.pii import private_values
 from loomline.llm.shared import table
 
+KEY = b"loomline example key"  # a real deployment brings its own secret
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op2_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_values(table(spark, sf_dir, "documents"), KEY)
+
+
+def op3_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_feistel_pii": op2_feistel_pii,
+    "op3_differencing_packing": op3_differencing_packing,
     "op4_ngram_join": op4_ngram_join,
 }
 ORACLE_SQL: dict[str, str] = {}
