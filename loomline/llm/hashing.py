@@ -113,12 +113,21 @@ def shingles(word: np.ndarray, k: int = 5) -> np.ndarray:
     return mix(h + _U(n))
 
 
+def groups_of(raw: np.ndarray, at: np.ndarray, most: int = 4 * PIECE):
+    """Runs of texts of at most so many bytes (or one text): the first and last of them, their bytes, and offsets."""
+    i = 0
+    while i < len(at) - 1:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
+        yield i, j, raw[at[i] : at[j]], at[i : j + 1] - at[i]
+        i = j
+
+
 def shingle_sets(column: pa.Array, k: int = 5):
     """For each text, the sorted distinct hashes of its k-word shingles."""
-    raw, at = texts_of(column)
-    word, _, _, own = words(raw, at)
-    for i in range(len(at) - 1):
-        yield np.unique(shingles(word[own[i] : own[i + 1]], k))
+    for _, _, raw, at in groups_of(*texts_of(column)):
+        word, _, _, own = words(raw, at)
+        for i in range(len(at) - 1):
+            yield np.unique(shingles(word[own[i] : own[i + 1]], k))
 
 
 def set_id(hashes: np.ndarray) -> tuple[int, int]:

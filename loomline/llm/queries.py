@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from loomline.llm.fingerprints import edited_fingerprints
+from loomline.llm.licences import licences
 from loomline.llm.ngram_join import near_duplicates
 from loomline.llm.packing import packed
 from loomline.llm.pii import private_values
@@ -28,9 +30,19 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_scaled_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_feistel_pii": op2_feistel_pii,
     "op3_differencing_packing": op3_differencing_packing,
     "op4_ngram_join": op4_ngram_join,
+    "op5_scaled_fingerprints": op5_scaled_fingerprints,
+    "op8_licence_scan": op8_licence_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
