@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loomline.llm.fingerprints import edited_fingerprints
+from loomline.llm.html_main import extracted
 from loomline.llm.licences import licences
+from loomline.llm.media import features, stored
 from loomline.llm.ngram_join import near_duplicates
 from loomline.llm.packing import packed
 from loomline.llm.pii import private_values
@@ -34,15 +36,25 @@ def op5_scaled_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences(table(spark, sf_dir, "documents"))
 
 
+def op9_media_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features(*stored(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_feistel_pii": op2_feistel_pii,
     "op3_differencing_packing": op3_differencing_packing,
     "op4_ngram_join": op4_ngram_join,
     "op5_scaled_fingerprints": op5_scaled_fingerprints,
+    "op6_main_text": op6_main_text,
     "op8_licence_scan": op8_licence_scan,
+    "op9_media_shards": op9_media_shards,
 }
 ORACLE_SQL: dict[str, str] = {}
