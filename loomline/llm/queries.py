@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomline.llm.fingerprints import edited_fingerprints
 from loomline.llm.html_main import extracted
+from loomline.llm.language import identified
 from loomline.llm.licences import licences
 from loomline.llm.media import features, stored
 from loomline.llm.ngram_join import near_duplicates
 from loomline.llm.packing import packed
 from loomline.llm.pii import private_values
+from loomline.llm.quality import judged
 from loomline.llm.shared import table
 
 KEY = b"loomline example key"  # a real deployment brings its own secret
@@ -40,6 +42,10 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
 
 
+def op7_line_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences(table(spark, sf_dir, "documents"))
 
@@ -48,13 +54,19 @@ def op9_media_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(*stored(table(spark, sf_dir, "documents")))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identified(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_feistel_pii": op2_feistel_pii,
     "op3_differencing_packing": op3_differencing_packing,
     "op4_ngram_join": op4_ngram_join,
     "op5_scaled_fingerprints": op5_scaled_fingerprints,
     "op6_main_text": op6_main_text,
+    "op7_line_field_quality": op7_line_field_quality,
     "op8_licence_scan": op8_licence_scan,
     "op9_media_shards": op9_media_shards,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
