@@ -12,6 +12,7 @@ from loomline.llm.html_main import extracted
 from loomline.llm.language import identified
 from loomline.llm.licences import licences
 from loomline.llm.media import features, stored
+from loomline.llm.mixing import domains_of, mixed
 from loomline.llm.ngram_join import near_duplicates
 from loomline.llm.packing import packed
 from loomline.llm.pii import private_values
@@ -20,6 +21,11 @@ from loomline.llm.shared import table
 
 KEY = b"loomline example key"  # a real deployment brings its own secret
 TOKENIZER = "byte_bpe_50k.json"
+TARGETS = {"clean": 0.85, "toxic": 0.05, "poor": 0.10}
+
+
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"), domains_of(table(spark, sf_dir, "labels")), TARGETS)
 
 
 def op2_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +65,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_soft_mixing": op1_soft_mixing,
     "op2_feistel_pii": op2_feistel_pii,
     "op3_differencing_packing": op3_differencing_packing,
     "op4_ngram_join": op4_ngram_join,
