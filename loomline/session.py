@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -31,11 +33,13 @@ def ship(spark: SparkSession) -> SparkSession:
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
-        with tempfile.TemporaryDirectory() as folder:
-            bundle = os.path.join(folder, "loomline_package.zip")
-            with zipfile.ZipFile(bundle, "w", zipfile.ZIP_DEFLATED) as z:
-                for path in sorted(root.rglob("*.py")):
-                    z.write(path, path.relative_to(root.parent))
-            spark.sparkContext.addPyFile(bundle)
+        # executors fetch the bundle when their first task starts, so it stays until this process ends
+        folder = tempfile.mkdtemp(prefix="loomline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        bundle = os.path.join(folder, "loomline_package.zip")
+        with zipfile.ZipFile(bundle, "w", zipfile.ZIP_DEFLATED) as z:
+            for path in sorted(root.rglob("*.py")):
+                z.write(path, path.relative_to(root.parent))
+        spark.sparkContext.addPyFile(bundle)
         _shipped.add(app)
     return spark
