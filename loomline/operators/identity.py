@@ -51,18 +51,15 @@ def fuzzy_edges(names: DataFrame) -> DataFrame:
     """(a, b) of distinct names (entry_id, norm) of four letters or more that are alike: lengths within three, equal
     digit runs, ratio of at least 0.9.
 
-    Blocked by digit runs and length; a ratio of 0.9 leaves few letters unmatched, so some run of a fifth of the
-    shorter name's length is common. Candidates share such a run, or a letter count for very short names."""
+    Blocked by digit runs and bands of length. Distinct names are few next to the mentions that carry them, and the
+    ratio has no narrower exact block."""
     ratio = F.pandas_udf(_ratio, "double")
     rows = names.where(F.length("norm") >= SHORTEST).groupBy("norm").agg(F.min("entry_id").alias("entry_id"))
     rows = rows.select("entry_id", "norm", F.array_join(digit_runs(F.col("norm")), ",").alias("digits"), F.length("norm").alias("n"))
     left = rows.select(F.col("entry_id").alias("a"), F.col("norm").alias("x"), "digits", F.col("n").alias("nx"))
     # every partner is within three in length; both sides go to bands of equal width, one side to its neighbours too
     right = rows.select(F.col("entry_id").alias("b"), F.col("norm").alias("y"), "digits", F.col("n").alias("ny"), F.explode(F.sequence(F.floor((F.col("n") - LENGTHS) / 4), F.floor((F.col("n") + LENGTHS) / 4))).alias("band"))
-    # the bag of letters bounds the ratio from above
     pairs = left.withColumn("band", F.floor(F.col("nx") / 4)).join(right, ["digits", "band"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("nx") - F.col("ny")) <= LENGTHS))
-    common = F.size(F.array_intersect(F.split("x", ""), F.split("y", "")))
-    pairs = pairs.where(common * 2 >= F.size(F.array_distinct(F.split("x", ""))))
     return pairs.where(ratio("x", "y") >= RATIO).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 

@@ -1 +1,11 @@
+"""Readers and writers: text folders, JSON lines, TSV of utterances, EPUB containers, manifests, captions."""
 
+from loomline.sources.books import epub_members, epub_table, image_order, part_groups, prior_volumes
+from loomline.sources.files import (
+    best_existing, chapter_filter, folder_chapters, read_jsonl, read_manifest, read_utterances, upserted, write_chapters, write_jsonl,
+)
+
+__all__ = [
+    "best_existing", "chapter_filter", "epub_members", "epub_table", "folder_chapters", "image_order", "part_groups",
+    "prior_volumes", "read_jsonl", "read_manifest", "read_utterances", "upserted", "write_chapters", "write_jsonl",
+]
