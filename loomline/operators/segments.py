@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,30 +76,39 @@ def chapter_chunks(parts: DataFrame, key: str, target: int = 30_000, candidates:
 
     What is left of up to 1.3 times the target is one chunk. Else the cut goes among the paragraphs around the ideal
     one, by default the middle candidate (a provider may choose another)."""
-    sizes = F.transform(F.array_sort(F.collect_list(F.struct("paragraph_no", F.length("text").alias("n")))), lambda p: p["n"] + 2)
-    held = parts.groupBy(key).agg(sizes.alias("sizes"))
-    half = candidates // 2
-    ends = F.transform(F.col("sizes"), lambda x, i: F.aggregate(F.slice(F.col("sizes"), 1, i + 1), F.lit(0), lambda a, b: a + b))
-    held = held.withColumn("ends", ends)
-    n = F.size("ends")
-    zero = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("at"), F.lit(0).alias("done"))
-
-    def step(acc, _):
-        begin = F.when(acc["at"] > 0, F.get(F.col("ends"), acc["at"] - 1)).otherwise(0)
-        rest = F.get(F.col("ends"), n - 1) - begin
-        ideal = F.coalesce(F.get(F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i >= acc["at"]) & (F.get(F.col("ends"), i) >= begin + target)), F.lit(0)), n - 1)
-        low = F.greatest(acc["at"] + 1, ideal - half)
-        high = F.least(n, low + candidates)
-        low = F.greatest(acc["at"] + 1, high - candidates)
-        chosen = F.when(high > low, low + F.floor((high - low) / 2)).otherwise(F.greatest(ideal, acc["at"] + 1)).cast("int")
-        cut = F.when((rest <= int(1.3 * target)) | (n == 1), n).otherwise(F.least(chosen, n)).cast("int")
-        return F.when(acc["done"] == 1, acc).otherwise(F.struct(F.array_append(acc["cuts"], cut).alias("cuts"), cut.alias("at"), F.when(cut >= n, 1).otherwise(0).alias("done")))
-
-    cuts = held.select(key, "ends", F.aggregate(F.sequence(F.lit(1), n), zero, step, lambda acc: acc["cuts"]).alias("cuts"))
-    out = cuts.select(key, "ends", "cuts", F.posexplode("cuts").alias("chunk_no", "stop"))
-    base = F.when(F.col("chunk_no") > 0, F.get("cuts", F.col("chunk_no") - 1)).otherwise(0)
-    chars = F.get("ends", F.col("stop") - 1) - F.when(base > 0, F.get("ends", base - 1)).otherwise(0)
-    return out.select(key, "chunk_no", base.alias("base_paragraph"), (F.col("stop") - base).alias("n_paragraphs"), chars.alias("chars"))
+    sizes = F.array_sort(F.collect_list(F.struct("paragraph_no", F.length("text").alias("n"))))
+    held = parts.groupBy(key).agg(F.transform(sizes, lambda p: p["n"].cast("long")).alias("sizes"))
+    kind = held.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for name, lengths in zip(batch.column(key).to_pylist(), batch.column("sizes").to_pylist(), strict=True):
+                ends = list(itertools.accumulate(n + 2 for n in lengths))
+                at = 0
+                for no, cut in enumerate(cuts(ends, target, candidates)):
+                    rows.append((name, no, at, cut - at, ends[cut - 1] - (ends[at - 1] if at else 0)))
+                    at = cut
+            columns = [pa.array([r[i] for r in rows], batch.schema.field(key).type if not i else pa.int64()) for i in range(5)]
+            yield pa.RecordBatch.from_arrays(columns, [key, "chunk_no", "base_paragraph", "n_paragraphs", "chars"])
+
+    return held.mapInArrow(run, f"{key} {kind}, chunk_no long, base_paragraph long, n_paragraphs long, chars long")
+
+
+def cuts(ends: list[int], target: int, candidates: int = 6):
+    """The paragraphs before which chunks end, from the ends of paragraphs in characters."""
+    n, at, half = len(ends), 0, candidates // 2
+    while at < n:
+        begin = ends[at - 1] if at else 0
+        if n == 1 or ends[-1] - begin <= int(1.3 * target):
+            yield n
+            return
+        ideal = next((i for i in range(at, n) if ends[i] >= begin + target), n - 1)
+        low = max(at + 1, ideal - half)
+        high = min(n, low + candidates)
+        low = max(at + 1, high - candidates)
+        at = min(n, low + (high - low) // 2 if high > low else max(ideal, at + 1))
+        yield at
 
 
 def scenes(parts: DataFrame, bounds: DataFrame, key: str) -> DataFrame:

@@ -35,7 +35,8 @@ def chapter_offsets(totals: DataFrame, inter_chapter: int = INTER_CHAPTER) -> Da
 def mix_plan(beats: DataFrame, intra: int = INTRA, inter_scene: int = INTER_SCENE, lead_in: int = LEAD_IN) -> DataFrame:
     """The items of a chapter's mix in order: a pad before each beat but the first, its lead-in, and the beat."""
     order = Window.partitionBy("chapter_id").orderBy("pos")
-    before = F.lag("scene_id").over(order)
+    beats = beats.withColumn("__before", F.lag("scene_id").over(order))
+    before = F.col("__before")
     pad = F.when(before == F.col("scene_id"), intra).otherwise(inter_scene)
 
     def item(kind, rank, length):

@@ -1,10 +1,6 @@
-"""All queries on the reference's operators, by name, and the DuckDB SQL of each that SQL can express."""
+"""All queries on the engine's own operators, by name, and the DuckDB SQL of each that SQL can express."""
 
-from __future__ import annotations
+from loomline.plans import alignment_queries, casting_queries, text_queries, timeline_queries  # noqa: F401
+from loomline.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
