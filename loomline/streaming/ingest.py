@@ -9,7 +9,7 @@ from loomline.operators.segments import chapters_from_texts
 
 
 def chapter_stream(spark: SparkSession, folder: str) -> DataFrame:
-    texts = spark.readStream.option("pathGlobFilter", "*.txt").option("wholetext", True).schema("value string").text(folder)
+    texts = spark.readStream.option("pathGlobFilter", "*.txt").schema("value string").text(folder, wholetext=True)
     return chapters_from_texts(texts.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("content")))
 
 
