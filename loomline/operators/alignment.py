@@ -38,15 +38,44 @@ def normal_with_map(text: str) -> tuple[str, list[int]]:
     return "".join(out), where
 
 
+SPANS = 100_000  # spans that one automaton holds; beyond it a join compares each with each document
+
+
 def span_matches(spans: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, item_id, s, e): the first place of every span (item_id, text) in every document (doc_id, text), both
-    normalised. The spans are few and bounded by their table's own limit; documents are read once and never paired with
-    one another. Blank spans match nothing."""
+    normalised. Spans are a stated query set: up to SPANS of them go into one automaton, and each document is read once,
+    whatever their number. Blank spans match nothing."""
     held = spans.select("item_id", normal_text(F.col("text")).alias("needle")).where("needle <> ''")
     rows = docs.select("doc_id", normal_text(F.col("text")).alias("shadow"))
-    found = rows.join(F.broadcast(held), F.expr("contains(shadow, needle)"))
-    place = F.expr("locate(needle, shadow)")
-    return found.select("doc_id", "item_id", (place - 1).cast("long").alias("s"), (place - 1 + F.length("needle")).cast("long").alias("e"))
+    few = held.limit(SPANS + 1).collect()
+    if len(few) > SPANS:
+        found = rows.join(held, F.expr("contains(shadow, needle)"))
+        place = F.expr("locate(needle, shadow)") - 1
+        return found.select("doc_id", "item_id", place.cast("long").alias("s"), (place + F.length("needle")).cast("long").alias("e"))
+    needles: dict[str, list[int]] = {}
+    for r in few:
+        needles.setdefault(r.needle, []).append(r.item_id)
+    shared = docs.sparkSession.sparkContext.broadcast(needles)
+
+    def run(batches):
+        import ahocorasick
+
+        tree = ahocorasick.Automaton()
+        for needle, items in shared.value.items():
+            tree.add_word(needle, (len(needle), items))
+        tree.make_automaton()
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("shadow").to_pylist(), strict=True):
+                seen: set[int] = set()
+                for end, (n, items) in tree.iter(text or "") if shared.value else ():
+                    for item in items:
+                        if item not in seen:
+                            seen.add(item)
+                            out.append((doc, item, end + 1 - n, end + 1))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["doc_id", "item_id", "s", "e"])
+
+    return rows.mapInArrow(run, "doc_id long, item_id long, s long, e long")
 
 
 def anchored_matches(beats: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
