@@ -76,4 +76,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media_shards": op9_media_shards,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {}
+# Every pair that shares a shingle is compared here, which only small tables allow.
+OP4_SQL = r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0d]+'), lambda x: x <> '') AS ws FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(ws) - 3, 2)), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+    u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+    e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+    r AS (SELECT doc_id AS node, doc_id AS seen FROM s UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen)
+    SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(seen) AS component_id FROM s JOIN r ON r.node = s.doc_id GROUP BY s.doc_id, len(sh)"""
+ORACLE_SQL: dict[str, str] = {"op4_ngram_join": OP4_SQL}

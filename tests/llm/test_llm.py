@@ -362,3 +362,14 @@ def test_pipeline(spark):
             assert now == kept and docs.count() >= before.count()
         kept = now
     assert pipeline.run(spark, SMALL).count() == docs.count()
+
+
+def test_ngram_join_against_sql(spark):
+    import duckdb
+
+    from loomline.llm.queries import OP4_SQL
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    found = {tuple(r) for r in QUERIES["op4_ngram_join"](spark, SMALL).select("doc_id", "n_shingles", "component_id").collect()}
+    assert found == set(con.execute(OP4_SQL).fetchall())
