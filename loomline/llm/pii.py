@@ -226,7 +226,7 @@ _DETECT = re.compile(
     |(?P<ipv4>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9]))
     |(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
     |(?P<card>(?<![\w])[0-9](?:[ -]?[0-9]){12,18}(?![\w]))
-    |(?P<phone>(?<![\w+])(?:\+|00)?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![\w]))""".replace("\\6", "(?P=ds)").replace("\\7", "(?P=de)").replace("{4}([-/.])", "{4}(?P<ds>[-/.])").replace("[0-9]{1,2}([-/.])", "[0-9]{1,2}(?P<de>[-/.])"),
+    |(?P<phone>(?<![\w+])(?:(?:\+|00)?[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![\w]))""".replace("\\6", "(?P=ds)").replace("\\7", "(?P=de)").replace("{4}([-/.])", "{4}(?P<ds>[-/.])").replace("[0-9]{1,2}([-/.])", "[0-9]{1,2}(?P<de>[-/.])"),
     re.VERBOSE,
 )
 SECRET_VALUE = re.compile(r"""((?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?[ ]?[=:][ ]?["']?)|"|AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-|)(.*?)("?)\Z""", re.DOTALL)
@@ -253,6 +253,8 @@ def find(text: str):
     while m := _DETECT.search(text, at):
         kind = m.lastgroup if m.lastgroup in VALID else next(k for k in KINDS if m[k] is not None)
         s, e = m.span(kind)
+        if kind in ("card", "phone") and (other := _NEXT.search(text, s, e + 48)) and s < other.start() < e:
+            e = other.start()  # an address or a long number begins there
         if VALID[kind](text[s:e]):
             yield kind, s, e
             at = e
@@ -263,7 +265,8 @@ def find(text: str):
             at = _STEP.match(text, s).end() if _STEP.match(text, s) else s + 1
 
 
-_PHONE = re.compile(r"(?:\+|00)?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![\w])")
+_NEXT = re.compile(r" (?=(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w])|[0-9]{13,19}(?![\w]))")
+_PHONE = re.compile(r"(?:(?:\+|00)?[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![\w])")
 _STEP = re.compile(r"[\w+(]+")
 _LINE_OF_INTEREST = re.compile(r"[0-9@]")
 

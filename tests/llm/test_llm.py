@@ -183,6 +183,8 @@ def test_pseudonyms():
             assert pii.VALID[kind](new) and names.replace(kind, new, True) == text
     assert names.replace("card", values["card"][0]) == names.replace("card", values["card"][1]).replace(" ", "")
     assert not list(pii.find("In 2.0. we had 3 of 1234567890123456 and 999.1.1.1 on 31.02.2020, v1.2.3.4.5"))
+    row = "+1 (836) 555-9331 4451718024887799 27.65.93.188 +1 (836) 555-9331 27.65.93.188 a.b@c.org"
+    assert [k for k, _, _ in pii.find(row)] == ["phone", "card", "ipv4", "phone", "ipv4", "email"]
     text, counts = pii.pseudonymised("Call +1 (988) 555-2485 or +1 (988) 555-2485, not 12.", names)
     assert counts == {"phone": 2} and text.startswith("Call +1 (98") and text.endswith(", not 12.") and text[5:22] == text[26:43]
 
