@@ -74,6 +74,7 @@ def iban_ok(text: str) -> bool:
 
 
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
+HEXADECIMAL = re.compile(r"(?=[0-9]*[a-f])[0-9a-f]+|(?=[0-9]*[A-F])[0-9A-F]+")
 DIGIT, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -165,8 +166,13 @@ class Pseudonyms:
             return f"{self.permute('local', local, back)}@{self.permute('host', label, back)}{dot}{rest}"
         if kind == "secret":
             m = SECRET_VALUE.match(text)
-            hexadecimal = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", m[2])
-            return m[1] + (self._hex(kind, m[2], back) if hexadecimal else self.permute(kind, m[2], back)) + m[3]
+            # hexadecimal values with a letter are a class of their own; neither class runs into the other
+            if not HEXADECIMAL.fullmatch(m[2]):
+                return m[1] + self._walk(kind, m[2], lambda s: not HEXADECIMAL.fullmatch(s), back) + m[3]
+            value = self._hex(kind, m[2].lower(), back)
+            while not HEXADECIMAL.fullmatch(value):
+                value = self._hex(kind, value, back)
+            return m[1] + (value.upper() if m[2].isupper() else value) + m[3]
         raise ValueError(kind)
 
     def _hex(self, kind: str, text: str, back: bool) -> str:

@@ -185,6 +185,11 @@ def test_pseudonyms():
     assert not list(pii.find("In 2.0. we had 3 of 1234567890123456 and 999.1.1.1 on 31.02.2020, v1.2.3.4.5"))
     row = "+1 (836) 555-9331 4451718024887799 27.65.93.188 +1 (836) 555-9331 27.65.93.188 a.b@c.org"
     assert [k for k, _, _ in pii.find(row)] == ["phone", "card", "ipv4", "phone", "ipv4", "email"]
+    for i in range(300):
+        digits, mixed, letters = f"token={i:06d}", f"token=ABC{i:03d}", f"token=abc{i:03d}z"
+        assert re.fullmatch("token=[0-9]{6}", names.replace("secret", digits)) and names.replace("secret", names.replace("secret", digits), True) == digits
+        assert re.fullmatch("token=(?=.*[A-F])[0-9A-F]{6}", names.replace("secret", mixed)) and names.replace("secret", names.replace("secret", mixed), True) == mixed
+        assert re.fullmatch("token=[a-z]{3}[0-9]{3}[a-z]", names.replace("secret", letters)) and names.replace("secret", names.replace("secret", letters), True) == letters
     text, counts = pii.pseudonymised("Call +1 (988) 555-2485 or +1 (988) 555-2485, not 12.", names)
     assert counts == {"phone": 2} and text.startswith("Call +1 (98") and text.endswith(", not 12.") and text[5:22] == text[26:43]
 
