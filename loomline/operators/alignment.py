@@ -4,8 +4,11 @@ anchors and fuzzy matches, overlaps with text nodes, and wrapping matches in the
 from __future__ import annotations
 
 import difflib
+import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +81,52 @@ def span_matches(spans: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, item_id long, s long, e long")
 
 
+_ESCAPE = re.compile(r"\\([\\`*_{}\[\]()#+\-.!?«»])")
+_EMPHASIS = re.compile(r"(?<!\w)\*(?!\s)|(?<!\s)\*(?!\w)")
+
+
+def verbatim_form(text: str) -> str:
+    """A source's lines without markup, lower case, single spaces: what a passage has to stand in word for word."""
+    if "*" in text or "\\" in text:
+        text = " ".join(_EMPHASIS.sub("", _ESCAPE.sub(r"\1", line).replace("**", "")) for line in text.splitlines())
+    return " ".join(text.split()).lower()
+
+
+def verbatim_types(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, item_id, type): every passage (item_id, text) against every document (doc_id, text), dialogue where the
+    document has it word for word, else staging. Blank passages are dropped. Passages are a stated query set in one
+    automaton, and each document is read once."""
+    needles: dict[str, list[int]] = {}
+    held: list[int] = []
+    for r in items.select("item_id", "text").collect():
+        if needle := " ".join((r.text or "").split()).lower():
+            needles.setdefault(needle, []).append(len(held))
+            held.append(r.item_id)
+    shared = docs.sparkSession.sparkContext.broadcast((needles, held))
+
+    def run(batches):
+        import ahocorasick
+
+        needles, held = shared.value
+        tree = ahocorasick.Automaton()
+        for needle, places in needles.items():
+            tree.add_word(needle, places)
+        tree.make_automaton()
+        for batch in batches:
+            for at in range(0, batch.num_rows if held else 0, 256):
+                part = batch.slice(at, 256)
+                found = np.zeros((part.num_rows, len(held)), bool)
+                for i, text in enumerate(part.column("text").to_pylist()):
+                    for _, places in tree.iter(verbatim_form(text or "")):
+                        found[i, places] = True
+                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                columns = [np.repeat(ids, len(held)), np.tile(np.array(held, np.int64), len(ids))]
+                types = pc.if_else(pa.array(found.ravel()), "dialogue", "staging")
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), types], ["doc_id", "item_id", "type"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, type string")
+
+
 def anchored_matches(beats: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """beats (key, pos, text) with s, e and confidence in their own document (key, text): exact where short; else by the
     head and, within a window behind it, the tail; else null."""

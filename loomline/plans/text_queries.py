@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions import content_key, label_stem, prompt, retry_budget, slug, spoken_text, timeout_seconds, token_budget
-from loomline.operators import folds, segments
+from loomline.operators import alignment, folds, segments
 from loomline.plans.registry import query, table
 
 # The corpus has single line breaks only, so a paragraph is a line here.
@@ -263,8 +263,5 @@ def label_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT d.doc_id, CAST(b.item_id AS BIGINT) AS item_id, CASE WHEN contains(lower(d.text), lower(b.text)) THEN 'dialogue' ELSE 'staging' END AS type
     FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40 WHERE trim(b.text) <> ''""")
 def verbatim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A passage stays dialogue only if its source has it word for word."""
-    docs = table(spark, sf_dir, "documents").withColumn("k", F.col("doc_id") % 40)
-    items = table(spark, sf_dir, "benchmark").where(F.trim("text") != "").select("item_id", F.lower("text").alias("needle"), (F.col("item_id") % 40).alias("k"))
-    same = docs.join(F.broadcast(items), "k")
-    return same.select("doc_id", "item_id", F.when(F.contains(F.lower("text"), F.col("needle")), "dialogue").otherwise("staging").alias("type"))
+    """A passage stays dialogue only if its source has it word for word: every passage against every document."""
+    return alignment.verbatim_types(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
