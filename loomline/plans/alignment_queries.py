@@ -64,7 +64,7 @@ def segment_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("seg_no", "line"))
     end = F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("seg_no"))
     spans = lines.select("doc_id", F.col("seg_no").cast("long").alias("seg_no"), (end - F.length("line") - 1).alias("s"), (end - 1).alias("e"))
-    marks = docs.where("length(text) > 0").select("doc_id", F.explode(F.expr("sequence(0L, least(399L, (length(text) - 1) div 300))")).alias("match_no"))
+    marks = docs.where("length(text) > 0").select("doc_id", F.explode(F.expr("sequence(0L, (length(text) - 1) div 300)")).alias("match_no"))
     marks = marks.select("doc_id", "match_no", (F.col("match_no") * 300).alias("s"), (F.col("match_no") * 300 + 200).alias("e"))
     return alignment.overlapping(spans, marks, "doc_id")
 

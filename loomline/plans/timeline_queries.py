@@ -126,7 +126,7 @@ def active_beat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What plays at every half minute of a chapter."""
     placed = timeline.beat_timeline(beats(spark, sf_dir))
     spans = placed.groupBy("chapter_id").agg(F.min("start_ms").alias("a"), F.max("end_ms").alias("b"))
-    points = spans.select("chapter_id", F.explode(F.expr("sequence(a, least(b - 1, a + 399 * 30000L), 30000L)")).alias("t"))
+    points = spans.select("chapter_id", F.explode(F.expr("sequence(a, b - 1, 30000L)")).alias("t"))
     return timeline.active_beats(points, placed.select("chapter_id", "pos", "start_ms", "end_ms"), "chapter_id").select("chapter_id", "t", "pos")
 
 

@@ -12,3 +12,17 @@ def test_verbatim(spark, tmp_path):
     assert set(found) == {(d, i) for d in (1, 2, 3) for i in (7, 8, 9)}
     assert {k for k, v in found.items() if v == "dialogue"} == {(1, 7), (2, 8)}
     assert alignment.verbatim_form("a * b 2*3\n* c") == "a * b 2*3 c"
+
+
+def test_segment_overlap(spark, tmp_path):
+    text = "\n".join(["a" * 99] * 1300)
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["segment_overlap"](spark, str(tmp_path)).collect()
+    assert {r.match_no for r in found} == set(range(434)) and max(r.e for r in found) == len(text)
+
+
+def test_active_beat(spark, tmp_path):
+    turns = [(1, t, "user", "a" * 1200) for t in range(130)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = QUERIES["active_beat"](spark, str(tmp_path)).collect()
+    assert max(r.t for r in found) >= 130 * 100_000 - 30_000 and max(r.pos for r in found) == max(r.pos for r in QUERIES["timeline_beats"](spark, str(tmp_path)).collect())
