@@ -129,19 +129,28 @@ def verbatim_types(items: DataFrame, docs: DataFrame) -> DataFrame:
 
 def anchored_matches(beats: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """beats (key, pos, text) with s, e and confidence in their own document (key, text): exact where short; else by the
-    head and, within a window behind it, the tail; else null."""
-    both = beats.select(key, "pos", normal_text(F.col("text")).alias("needle")).join(docs.select(key, normal_text(F.col("text")).alias("shadow")), key)
-    n = F.length("needle")
-    exact = F.expr("locate(needle, shadow)")
-    head = F.expr(f"locate(left(needle, {HEAD}), shadow)")
-    window = F.greatest(2 * n + 300, F.lit(1000))
-    rest = F.substring(F.col("shadow"), head + HEAD, window)
-    tail = F.call_function("locate", F.right("needle", F.lit(TAIL)), rest)
-    anchored = (n > SHORT) & (head > 0) & (tail > 0)
-    s = F.when((n <= SHORT) & (n > 0) & (exact > 0), exact - 1).when(anchored, head - 1)
-    e = F.when((n <= SHORT) & (n > 0) & (exact > 0), exact - 1 + n).when(anchored, head - 1 + HEAD + tail - 1 + TAIL)
-    confidence = F.when((n <= SHORT) & (n > 0) & (exact > 0), "exact").when(anchored, "anchored").otherwise("none")
-    return both.select(key, "pos", s.cast("long").alias("s"), e.cast("long").alias("e"), confidence.alias("confidence"))
+    head and, within a window behind it, the tail; else null. A document's beats are sought in one row, as each of them
+    would else carry the whole document along."""
+    needles = beats.select(key, F.struct("pos", normal_text(F.col("text")).alias("needle")).alias("beat"))
+    shadows = docs.select(key, normal_text(F.col("text")).alias("shadow"))
+    held = needles.groupBy(key).agg(F.collect_list("beat").alias("beats")).join(shadows, key)
+
+    def place(needle: str, shadow: str) -> tuple[int | None, int | None, str]:
+        n = len(needle)
+        if n <= SHORT:
+            x = shadow.find(needle) if n else -1
+            return (x, x + n, "exact") if x >= 0 else (None, None, "none")
+        h = shadow.find(needle[:HEAD])
+        t = shadow.find(needle[-TAIL:], h + HEAD, h + HEAD + max(2 * n + 300, 1000)) if h >= 0 else -1
+        return (h, t + TAIL, "anchored") if t >= 0 else (None, None, "none")
+
+    def run(batches):
+        for batch in batches:
+            keys, lists, shadows = (batch.column(c).to_pylist() for c in (key, "beats", "shadow"))
+            rows = [(k, b["pos"], *place(b["needle"] or "", shadow or "")) for k, found, shadow in zip(keys, lists, shadows, strict=True) for b in found]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], [key, "pos", "s", "e", "confidence"])
+
+    return held.select(F.col(key).cast("long").alias(key), "beats", "shadow").mapInArrow(run, f"{key} long, pos long, s long, e long, confidence string")
 
 
 def match_histogram(matches: DataFrame) -> DataFrame:

@@ -33,14 +33,15 @@ ANCHORED = f"""
 
 def _anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    forms = F.array(F.left("text", F.lit(50)), F.left("text", F.lit(400)), F.concat(F.left("text", F.lit(100)), F.lit(" never there")))
-    beats = docs.select("doc_id", F.posexplode(forms).alias("pos", "text")).withColumn("pos", F.col("pos").cast("long"))
-    return alignment.anchored_matches(beats, docs)
+    pieces = segments.lecture_beats(docs.select("doc_id", "text"), "doc_id", separator="\n")
+    forms = F.array(F.col("text"), F.concat(F.left("text", F.lit(100)), F.lit(" never there")))
+    beats = pieces.select("doc_id", "beat_no", F.posexplode(forms).alias("form", "text"))
+    return alignment.anchored_matches(beats.select("doc_id", (F.col("beat_no") * 2 + F.col("form")).cast("long").alias("pos"), "text"), docs)
 
 
 @query(f"WITH {ANCHORED} SELECT doc_id, pos, s, e, confidence FROM matches")
 def anchored_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three beats of every document: a short one, a long one, and one whose end isn't there."""
+    """Beats of whole texts: every packed piece of every document, and its beginning with an end that isn't there."""
     return _anchored(spark, sf_dir)
 
 

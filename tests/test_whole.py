@@ -26,3 +26,14 @@ def test_active_beat(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     found = QUERIES["active_beat"](spark, str(tmp_path)).collect()
     assert max(r.t for r in found) >= 130 * 100_000 - 30_000 and max(r.pos for r in found) == max(r.pos for r in QUERIES["timeline_beats"](spark, str(tmp_path)).collect())
+
+
+def test_anchored_alignment(spark, tmp_path):
+    lines = [f"Line {i:03d} is here, " + chr(97 + i % 26) * 20 + f" and it goes on to its own end {i:03d}." for i in range(40)]
+    text = "\n".join([*lines, "The short one."])
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.pos: r for r in QUERIES["anchored_alignment"](spark, str(tmp_path)).collect()}
+    assert [(found[2 * i].s, found[2 * i].confidence) for i in range(40)] == [(text.index(x), "anchored") for x in lines]
+    assert (found[80].s, found[80].e, found[80].confidence) == (len(text) - 14, len(text), "exact") and len(found) == 82
+    assert {found[2 * i + 1].confidence for i in range(41)} == {"none"}
+    assert {r.confidence: r.n for r in QUERIES["match_histogram"](spark, str(tmp_path)).collect() if r.n} == {"exact": 1, "anchored": 40, "none": 41}
