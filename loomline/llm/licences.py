@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,14 +42,14 @@ _OTHER = bytes(c if c >= 0x80 or chr(c).isascii() and chr(c).isalnum() else 0x20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in _OTHER)
 
 
-def expression(tokens: list[str]) -> tuple[list, int]:
+def expression(tokens: Iterable[str]) -> tuple[list, int]:
     """The longest licence expression at the start of tokens, in postfix order, and how many tokens it takes.
 
     WITH binds tighter than AND, and AND tighter than OR; all are binary and group to the left. Where parentheses
     don't match or an operand is missing, the expression ends before that.
     """
     power = {"or": 1, "and": 2, "with": 3}
-    best: tuple[list, int] = ([], 0)
+    best: tuple[int, list, int] = (0, [], 0)  # how much of out, what follows it, and tokens
     out: list = []
     stack: list = []
     operand = True  # whether one is expected next
@@ -78,8 +79,8 @@ def expression(tokens: list[str]) -> tuple[list, int]:
             out.append(t)
             operand = False
         if not operand and "(" not in stack:
-            best = (out + stack[::-1], i + 1)
-    return best
+            best = (len(out), stack[::-1], i + 1)
+    return out[: best[0]] + best[1], best[2]
 
 
 def permitted(postfix: list, allowed) -> bool:
@@ -100,7 +101,9 @@ def family(identifier: str) -> str:
     return m[1] if m else low
 
 
-_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]{0,400})", re.IGNORECASE)
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*", re.IGNORECASE)
+_LINE_END = re.compile(r"[\r\n]|\Z")
+_TOKEN = re.compile(r"[()]|[A-Za-z0-9.+-]+|[^\s]")
 
 
 class Scanner:
@@ -129,8 +132,12 @@ class Scanner:
                 labels.add(label)
         expressions = []
         if tag:
+            stop = -1
             for m in _SPDX.finditer(text):
-                postfix, n = expression(re.findall(r"[()]|[A-Za-z0-9.+-]+|[^\s]", m[1]))
+                if stop < m.end():
+                    stop = _LINE_END.search(text, m.end()).start()
+                # tokens are read as far as the expression goes, at most to the end of the line
+                postfix, n = expression(t[0] for t in _TOKEN.finditer(text, m.end(), stop))
                 if n:
                     postfix[:] = [t.rstrip(".") if t not in ("or", "and", "with") else t for t in postfix]
                     expressions.append(postfix)

@@ -3,7 +3,7 @@
 import pyarrow as pa
 import pytest
 
-from loomline.llm import pii
+from loomline.llm import licences, pii
 
 KEY = b"test"
 
@@ -31,3 +31,15 @@ def test_values_without_digits(kind, value):
     assert new[0] == new[1] != value and new[2] == "nothing"
     assert out.column(1 + pii.KINDS.index(kind)).to_pylist() == [1, 1, 0]
     assert pii.pseudonymised(texts[0], pii.Pseudonyms(KEY))[1] == {kind: 1}
+
+
+def test_long_licence_expression():
+    scan = licences.Scanner().scan
+    names = [f"Name-{i}" for i in range(300)]
+    for text in (" OR ".join([*names, "Apache-2.0"]), "(" + " AND ".join([*names, "Apache-2.0"]) + ")"):
+        found = scan(f"// SPDX-License-Identifier: {text}\nMIT")
+        assert found["labels"] == sorted(["apache", *(n.lower() for n in names)]) and len(found["expressions"][0]) == 601
+    far = "SPDX-License-Identifier: MIT is here " + "word " * 200
+    assert scan(far + "SPDX-License-Identifier: ISC")["labels"] == ["isc", "mit"]
+    near = scan("SPDX-License-Identifier: MIT SPDX-License-Identifier: ISC\rSPDX-License-Identifier: (BSL-1.0\nOR MIT)")
+    assert near["labels"] == ["isc", "mit"] and near["expressions"] == [["MIT"], ["ISC"]]
