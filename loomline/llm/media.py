@@ -183,7 +183,11 @@ FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 
 def features(index: DataFrame, folder: str) -> DataFrame:
     """What the stored bytes of every index row say when read back: digests of payload and stored form, the CRC of the
-    payload's last 64 bytes, and the feature of its samples. A payload that isn't what its digest says is an error."""
+    payload's last 64 bytes, and the feature of its samples. A payload that isn't what its digest says is an error.
+    Columns that the index has beside its own (as of with_metadata) come after these."""
+    known = {f.split()[0] for f in INDEX.split(", ")}
+    more = [f for f in index.schema if f.name not in known]
+    names = [f.name for f in more]
 
     def run(batches):
         reader, last, values = RangeReader(folder, 1 << 20), None, ()
@@ -200,6 +204,7 @@ def features(index: DataFrame, folder: str) -> DataFrame:
                     raise ValueError(f"{shard} at {offset} isn't {digest}")
                 rows.append((doc, n, *values))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [f.split()[0] for f in FEATURES.split(", ")])
+            columns = [*(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)), *(batch.column(name) for name in names)]
+            yield pa.RecordBatch.from_arrays(columns, [*(f.split()[0] for f in FEATURES.split(", ")), *names])
 
-    return _in_place(index).mapInArrow(run, FEATURES)
+    return _in_place(index).mapInArrow(run, FEATURES + "".join(f", {f.name} {f.dataType.simpleString()}" for f in more))

@@ -11,7 +11,7 @@ from loomline.llm.fingerprints import edited_fingerprints
 from loomline.llm.html_main import extracted
 from loomline.llm.language import identified
 from loomline.llm.licences import licences
-from loomline.llm.media import features, stored
+from loomline.llm.media import features, stored, with_metadata
 from loomline.llm.mixing import domains_of, mixed
 from loomline.llm.ngram_join import near_duplicates
 from loomline.llm.packing import packed
@@ -57,7 +57,8 @@ def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(*stored(table(spark, sf_dir, "documents")))
+    index, folder = stored(table(spark, sf_dir, "documents"))
+    return features(with_metadata(index, folder), folder)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import pyarrow as pa
 import pytest
 
-from loomline.llm import licences, pii
+from loomline.llm import licences, pii, queries
 
 KEY = b"test"
 
@@ -43,3 +43,10 @@ def test_long_licence_expression():
     assert scan(far + "SPDX-License-Identifier: ISC")["labels"] == ["isc", "mit"]
     near = scan("SPDX-License-Identifier: MIT SPDX-License-Identifier: ISC\rSPDX-License-Identifier: (BSL-1.0\nOR MIT)")
     assert near["labels"] == ["isc", "mit"] and near["expressions"] == [["MIT"], ["ISC"]]
+
+
+def test_media_metadata(spark, tmp_path):
+    spark.createDataFrame([(1, "a" * 1000), (2, ""), (3, None), (4, "b" * 70)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.op9_media_shards(spark, str(tmp_path)).collect()}
+    assert {i: (r.width, r.height, r.bit_depth, r.colour_type) for i, r in found.items()} == {i: (64, r.payload_bytes // 64, 8, 0) for i, r in found.items()}
+    assert len(found) == 4 and found[1].height == 16
