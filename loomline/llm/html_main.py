@@ -41,6 +41,15 @@ CLUTTER = frozenset(
     comment comments commentlist respond disqus discussion replies share sharing social related recommended
     recommendations pagination pager login search copyright disclaimer skip hidden""".split()
 )
+# What may follow the word that a name is about, as in ad-slot-1 or related-posts.
+ENDINGS = frozenset(
+    """wrap wrapper container inner outer box area section block list item items group panel bar row col column content
+    left right top bottom main primary secondary fixed sticky mobile desktop link links text title body head form field
+    button buttons icon icons slot unit card cards post posts article articles story stories news image img logo toggle
+    message""".split()
+)
+# What makes a name tell how an element is laid out instead of what it is, as in has-sidebar or overflow-hidden.
+STATES = frozenset("has no not non with without overflow layout".split())
 SPARED = frozenset("article post entry content story main body".split())
 SHORT, LONG, LINKS, FEW, MANY = 60, 140, 0.3, 0.06, 0.14
 
@@ -57,24 +66,36 @@ _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _clutter(tag: str, attributes: str, within: bool) -> bool:
-    """Whether an element is of a kind that is never main text. within: inside an article or main."""
+HARD, NAMED = 2, 1
+
+
+def _named(name: str) -> bool:
+    """Whether a class or id is a clutter name: its head, which is its last word but for endings, is a clutter word."""
+    parts = [p.lower() for p in _NAME.findall(name)]
+    if set(parts) & SPARED and not set(parts) & {"comment", "comments", "ad", "ads", "sidebar", "related", "advertisement"}:
+        return False
+    while parts and parts[-1] not in CLUTTER and (parts[-1] in ENDINGS or parts[-1].isdigit()):
+        parts.pop()
+    return bool(parts) and parts[-1] in CLUTTER and not set(parts) & STATES
+
+
+def _clutter(tag: str, attributes: str, within: bool) -> int:
+    """HARD if an element is of a kind that is never main text, NAMED if only its class or id says so, else 0.
+    within: inside an article or main."""
     if tag in NEVER or tag == "header" and not within:
-        return True
+        return HARD
     if not attributes:
-        return False
+        return 0
+    named = 0
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
-            return True
+            return HARD
         if name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id"):
-            for one in value.split():
-                parts = {p.lower() for p in _NAME.findall(one)}
-                if parts & CLUTTER and not (parts & SPARED and not parts & {"comment", "comments", "ad", "ads", "sidebar", "related", "advertisement"}):
-                    return True
-    return False
+            return HARD
+        if name in ("class", "id") and any(map(_named, value.split())):
+            named = NAMED
+    return named
 
 
 class Block:
@@ -89,7 +110,10 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked = links = clutter = 0
-    stack: list[tuple[str, bool, int]] = []
+    stack: list[tuple[str, int, int]] = []
+    named: list[int] = []  # places of the elements that are clutter by name alone, of those open
+    under: list[tuple[int, ...]] = []  # for every block, the named ones around it
+    held: list[tuple[str, tuple[int, ...]]] = []  # the same for every article and main
     region, heading, at = 0, False, 0
 
     def flush():
@@ -97,6 +121,7 @@ def blocks(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             out.append(Block(text, linked, region, heading, clutter > 0))
+            under.append(tuple(named))
         parts, linked = [], 0
 
     def add(text: str):
@@ -131,20 +156,35 @@ def blocks(page: str) -> list[Block]:
             if bad and tag not in BLOCKS:
                 flush()
             stack.append((tag, bad, region))
-            clutter += bad
+            clutter += bad == HARD
+            if bad == NAMED:
+                named.append(m.start())
             if tag in ("article", "main") and not bad:
+                if not clutter:
+                    held.append((tag, tuple(named)))
                 region = max(region, 2 if tag == "article" else 1)
         elif any(t == tag for t, _, _ in stack):
             while stack:
                 t, bad, before = stack.pop()
                 if bad and t not in BLOCKS:
                     flush()
-                clutter -= bad
+                clutter -= bad == HARD
+                if bad == NAMED:
+                    named.pop()
                 region = before
                 if t == tag:
                     break
     add(page[at:])
     flush()
+    # A name doesn't count for an element that holds the page's main or articles. It does where another one stands outside
+    # of all such names, or where articles alone are less than the text outside, as teasers below a page without any.
+    freed = {x for _, names in held for x in names} if all(names for _, names in held) else set()
+    if freed and all(tag == "article" for tag, _ in held):
+        sizes = [(len(b.text), names) for b, names in zip(out, under, strict=True) if not b.bad]
+        if sum(n for n, names in sizes if freed & set(names)) < sum(n for n, names in sizes if not names):
+            freed = set()
+    for b, names in zip(out, under, strict=True):
+        b.bad = b.bad or any(x not in freed for x in names)
     return out
 
 

@@ -3,7 +3,7 @@
 import pyarrow as pa
 import pytest
 
-from loomline.llm import licences, pii, queries
+from loomline.llm import html_main, licences, pii, queries
 
 KEY = b"test"
 
@@ -50,3 +50,22 @@ def test_media_metadata(spark, tmp_path):
     found = {r.doc_id: r for r in queries.op9_media_shards(spark, str(tmp_path)).collect()}
     assert {i: (r.width, r.height, r.bit_depth, r.colour_type) for i, r in found.items()} == {i: (64, r.payload_bytes // 64, 8, 0) for i, r in found.items()}
     assert len(found) == 4 and found[1].height == 16
+
+
+LINE = "This is a line of the text that is long enough to be read as what the page is about, and it has many of the words."
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "with-sidebar", "layout-sidebar-right", "overflow-hidden", "sidebar", "page-sidebar-2"])
+def test_wrappers_of_the_article(name):
+    side = f"<div class='sidebar'><p>{LINE} Aside.</p></div><div class='related-posts'><article><p>{LINE} Card.</p></article></div>"
+    assert html_main.main_text(f"<div class='{name}'><article><p>{LINE}</p><section id='related-work'><p>{LINE} Work.</p></section></article></div>").split("\n") == [LINE, f"{LINE} Work."]
+    assert html_main.main_text(f"<div id='{name}'><main><p>{LINE}</p></main></div>") == LINE
+    assert html_main.main_text(f"<article><p>{LINE}</p></article>{side}") == LINE
+    assert html_main.main_text(f"<div><p>{LINE}</p><p>{LINE}</p></div>{side}").split("\n") == [LINE, LINE]
+
+
+def test_clutter_names():
+    for name in ("ad", "ad-slot-1", "adSlot", "sidebar", "sidebar-left", "primary-sidebar", "related-posts", "cookie-banner", "comment-list", "site-footer", "nav-links", "widget_text"):
+        assert html_main._named(name), name
+    for name in ("has-sidebar", "overflow-hidden", "related-work", "entry-header", "post", "advice", "layout-sidebar-right", "no-comments"):
+        assert not html_main._named(name), name
