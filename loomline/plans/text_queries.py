@@ -107,9 +107,9 @@ def chapter_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY bound_no) AS BIGINT) AS scene_no, CAST(sum(length(t)) + 2 * (count(*) - 1) AS BIGINT) AS chars
     FROM cl JOIN parts USING (doc_id) WHERE p BETWEEN a AND b GROUP BY doc_id, bound_no""")
 def scene_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three boundaries for every document, which overlap and reach beyond its end."""
+    """Three boundaries for every document, which overlap and reach beyond its end; the last has no end."""
     parts = segments.paragraphs(table(spark, sf_dir, "documents"), "doc_id", separator="\n")
-    bounds = spark.createDataFrame([(1, 0, 2), (2, 2, 4), (3, 6, 99)], "bound_no int, first int, last int")
+    bounds = spark.createDataFrame([(1, 0, 2), (2, 2, 4), (3, 6, None)], "bound_no int, first int, last int")
     every = parts.select("doc_id").distinct().join(F.broadcast(bounds), F.lit(True))
     out = segments.scenes(parts, every, "doc_id")
     return out.select("doc_id", F.col("scene_no").cast("long").alias("scene_no"), F.length("text").cast("long").alias("chars"))
@@ -226,7 +226,7 @@ def content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM conversations""")
 def prompt_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    marked = F.concat(F.lit("(aside) "), F.left("text", F.lit(40)), F.lit(" (exit)"))
+    marked = F.concat(F.lit("(aside) "), "text", F.lit(" (exit)"))
     return turns.select("conv_id", "turn", prompt(F.concat("role", F.lit(" voice , warm")), F.col("text")).alias("prompt"), spoken_text(marked).alias("spoken"))
 
 

@@ -37,3 +37,15 @@ def test_anchored_alignment(spark, tmp_path):
     assert (found[80].s, found[80].e, found[80].confidence) == (len(text) - 14, len(text), "exact") and len(found) == 82
     assert {found[2 * i + 1].confidence for i in range(41)} == {"none"}
     assert {r.confidence: r.n for r in QUERIES["match_histogram"](spark, str(tmp_path)).collect() if r.n} == {"exact": 1, "anchored": 40, "none": 41}
+
+
+def test_scene_slices(spark, tmp_path):
+    spark.createDataFrame([(1, "\n".join(["ab"] * 250)), (2, "abc")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.doc_id, r.scene_no): r.chars for r in QUERIES["scene_slices"](spark, str(tmp_path)).collect()}
+    assert found == {(1, 1): 2 * 4 - 2, (1, 2): 3 * 4 - 2, (1, 3): 245 * 4 - 2, (2, 1): 3, (2, 2): 3, (2, 3): 3}
+
+
+def test_prompt_compose(spark, tmp_path):
+    text = "A long turn that goes on (softly) far beyond forty characters to its end."
+    spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [r.spoken for r in QUERIES["prompt_compose"](spark, str(tmp_path)).collect()] == [text.replace("(softly) ", "")]
