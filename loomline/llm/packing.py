@@ -128,8 +128,16 @@ def _encoder(vocabulary: str):
     """A function from a text to its ids, for the contents of a tokenizers file.
 
     Where that file is plain byte-level BPE whose ids rise with its merges, tiktoken gives the same ids from the same
-    vocabulary several times as fast; any other file goes to tokenizers itself.
+    vocabulary several times as fast; any other file goes to tokenizers itself, and so does a text that holds one of
+    the file's added tokens.
     """
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_str(vocabulary)
+
+    def exact(text: str) -> np.ndarray:
+        return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+
     spec = json.loads(vocabulary)
     model, split = spec["model"], spec.get("pre_tokenizer") or {}
     merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model.get("merges", [])]
@@ -146,12 +154,9 @@ def _encoder(vocabulary: str):
         byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
         ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
         fast = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: np.array(fast.encode_ordinary(text), np.uint32)
-    from tokenizers import Tokenizer
-
-    slow = Tokenizer.from_str(vocabulary)
-    slow.encode_special_tokens = True
-    return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        added = sorted(special)
+        return lambda text: exact(text) if any(t in text for t in added) else np.array(fast.encode_ordinary(text), np.uint32)
+    return exact
 
 
 def _pack(vocabulary, capacity: int, end_id: int):
