@@ -85,7 +85,7 @@ def _vectors(batches):
     for batch in batches:
         found = [ngrams(t or "") for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("lang"), pa.array([p.astype(np.uint16).tobytes() for p, _ in found], pa.binary()), pa.array([np.minimum(c, 65535).astype(np.uint16).tobytes() for _, c in found], pa.binary())],
+            [batch.column("doc_id"), batch.column("lang"), pa.array([p.astype(np.uint16).tobytes() for p, _ in found], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in found], pa.binary())],
             ["doc_id", "lang", "places", "counts"],
         )
 
@@ -126,7 +126,7 @@ def learned(training: DataFrame, sample: int = SAMPLE) -> Model:
     data = []
     for r in rows:
         places = np.frombuffer(r["places"], np.uint16).astype(np.int64)
-        data.append((places, tf_idf(places, np.frombuffer(r["counts"], np.uint16), idf), languages.index(r["lang"])))
+        data.append((places, tf_idf(places, np.frombuffer(r["counts"], np.uint32), idf), languages.index(r["lang"])))
     return Model(languages, idf, *fit(data, WIDTH, len(languages), epochs=2, alpha=1.0, l1=1e-4, l2=1e-5))
 
 
