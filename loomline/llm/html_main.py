@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,14 +54,11 @@ STATES = frozenset("has no not non with without overflow layout".split())
 SPARED = frozenset("article post entry content story main body".split())
 SHORT, LONG, LINKS, FEW, MANY = 60, 140, 0.3, 0.06, 0.14
 
-_TAG = re.compile(
-    r"""<!--(?:.*?-->|.*\Z)
-    |<(script|style|xmp|textarea|iframe|noembed|noframes)\b[^>]*>(?:.*?</\1\s*[^>]*>|.*\Z)
-    |<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]{0,20000}"|'[^']{0,20000}')*)>
-    |<(/?)([A-Za-z][^\s/>]*)([^>]*)>
-    |<[!?/][^>]*>""",
-    re.VERBOSE | re.DOTALL | re.IGNORECASE,
-)
+_OPEN = re.compile(r"<(?:(!--)|(/?)([A-Za-z][^\s/>]*)|[!?/])")
+# From a tag's name to its end; quotes count where a value begins. No part gives back what it has read.
+_REST = re.compile(r"""(?:[^>=]++|=(?:\s*+(?:"[^"]*+"|'[^']*+')|(?!\s*+["'])))*+>""")
+RAW = frozenset("script style xmp textarea iframe noembed noframes".split())
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.IGNORECASE) for tag in RAW}
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/]|\Z))""", re.IGNORECASE)
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -105,15 +103,52 @@ class Block:
         self.text, self.linked, self.region, self.heading, self.bad = text, linked, region, heading, bad
 
 
+def tags(page: str):
+    """(start, end, name, whether it closes, attributes) of every tag, comment and declaration (these without a name).
+
+    An element whose content isn't markup, such as a script, is one item without a name. Every character is read a
+    bounded number of times: where a quote runs to the end of the page, quotes stop counting; a tag that nothing ends
+    goes to the next < (or the page's end).
+    """
+    at, quotes, last = 0, True, page.rfind(">")
+    while m := _OPEN.search(page, at):
+        start, at = m.start(), m.end()
+        if m[1]:
+            end = page.find("-->", start + 2)
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, "", False, ""
+            continue
+        rest = _REST.match(page, at) if m[3] and quotes else None
+        if rest:
+            end = rest.end()
+        else:
+            quotes = quotes and not m[3]
+            end = page.find(">", at) + 1 if at <= last else 0
+            if not end:
+                end = page.find("<", at)
+                end = len(page) if end < 0 else end
+        name = (m[3] or "").lower()
+        if name in RAW and not m[2]:
+            stop = _RAW_ENDS[name].search(page, end)
+            end = page.find(">", stop.end()) + 1 if stop else 0
+            at = end or len(page)
+            yield start, at, "", False, ""
+            continue
+        yield start, end, name, bool(m[2]), page[at : end - (page[end - 1] == ">")] if m[3] else ""
+        at = end
+
+
 def blocks(page: str) -> list[Block]:
     """Every block of text, in page order, without scripts, styles, comments and markup."""
     out: list[Block] = []
     parts: list[str] = []
     linked = links = clutter = 0
     stack: list[tuple[str, int, int]] = []
-    named: list[int] = []  # places of the elements that are clutter by name alone, of those open
-    under: list[tuple[int, ...]] = []  # for every block, the named ones around it
-    held: list[tuple[str, tuple[int, ...]]] = []  # the same for every article and main
+    depth: Counter = Counter()  # how many of each element are open
+    outer: list[int] = []  # elements that are clutter by name alone: the one around each, or -1
+    named = -1  # the innermost of them that is open
+    under: list[int] = []  # for every block, the innermost around it
+    held: list[tuple[str, int]] = []  # the same for every article and main
     region, heading, at = 0, False, 0
 
     def flush():
@@ -121,7 +156,7 @@ def blocks(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             out.append(Block(text, linked, region, heading, clutter > 0))
-            under.append(tuple(named))
+            under.append(named)
         parts, linked = [], 0
 
     def add(text: str):
@@ -130,15 +165,12 @@ def blocks(page: str) -> list[Block]:
         if links:
             linked += len(text.strip())
 
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+    for start, stop, tag, end, attributes in tags(page):
+        if start > at:
+            add(page[at:start])
+        at = stop
         if not tag:
             continue
-        end = bool(m[2] or m[5])
-        attributes = m[4] or m[7] or ""
         if tag in BLOCKS:
             flush()
             heading = not end and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
@@ -156,21 +188,24 @@ def blocks(page: str) -> list[Block]:
             if bad and tag not in BLOCKS:
                 flush()
             stack.append((tag, bad, region))
+            depth[tag] += 1
             clutter += bad == HARD
             if bad == NAMED:
-                named.append(m.start())
+                outer.append(named)
+                named = len(outer) - 1
             if tag in ("article", "main") and not bad:
                 if not clutter:
-                    held.append((tag, tuple(named)))
+                    held.append((tag, named))
                 region = max(region, 2 if tag == "article" else 1)
-        elif any(t == tag for t, _, _ in stack):
+        elif depth[tag]:
             while stack:
                 t, bad, before = stack.pop()
+                depth[t] -= 1
                 if bad and t not in BLOCKS:
                     flush()
                 clutter -= bad == HARD
                 if bad == NAMED:
-                    named.pop()
+                    named = outer[named]
                 region = before
                 if t == tag:
                     break
@@ -178,27 +213,45 @@ def blocks(page: str) -> list[Block]:
     flush()
     # A name doesn't count for an element that holds the page's main or articles. It does where another one stands outside
     # of all such names, or where articles alone are less than the text outside, as teasers below a page without any.
-    freed = {x for _, names in held for x in names} if all(names for _, names in held) else set()
+    freed = set()
+    if all(x >= 0 for _, x in held):
+        for _, x in held:
+            while x >= 0 and x not in freed:
+                freed.add(x)
+                x = outer[x]
+    some, every = [], []  # whether any of a named element and those around it is freed, and whether all are
+    for x, around in enumerate(outer):
+        some.append(x in freed or around >= 0 and some[around])
+        every.append(x in freed and (around < 0 or every[around]))
     if freed and all(tag == "article" for tag, _ in held):
-        sizes = [(len(b.text), names) for b, names in zip(out, under, strict=True) if not b.bad]
-        if sum(n for n, names in sizes if freed & set(names)) < sum(n for n, names in sizes if not names):
-            freed = set()
-    for b, names in zip(out, under, strict=True):
-        b.bad = b.bad or any(x not in freed for x in names)
+        sizes = [(len(b.text), x) for b, x in zip(out, under, strict=True) if not b.bad]
+        if sum(n for n, x in sizes if x >= 0 and some[x]) < sum(n for n, x in sizes if x < 0):
+            every = [False] * len(outer)
+    for b, x in zip(out, under, strict=True):
+        b.bad = b.bad or x >= 0 and not every[x]
     return out
 
 
-def judge(b: Block) -> bool | None:
-    """The first pass: good, bad, or None where undecided."""
+def spoken(found: list[Block]) -> bool:
+    """Whether the stop words are of the page's language: whether some of the words outside of clutter and links are."""
+    every = [w for b in found if not b.bad and len(b.text) >= SHORT and b.linked <= LINKS * len(b.text) for w in _WORD.findall(b.text.lower())]
+    return not every or sum(w in STOP_WORDS for w in every) >= FEW / 2 * len(every)
+
+
+def judge(b: Block, known: bool = True) -> bool | None:
+    """The first pass: good, bad, or None where undecided. In a language whose stop words aren't known, length and links
+    alone decide."""
     if b.bad:
         return False
     n = len(b.text)
     if b.linked > LINKS * n and not (b.region and n - b.linked >= LONG):
         return False
-    found = _WORD.findall(b.text.lower())
-    share = sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
     if b.heading or n < SHORT:
         return None
+    found = _WORD.findall(b.text.lower())
+    share = sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
+    if not known:
+        return True if n >= LONG else None
     if share >= MANY or b.region and n >= LONG and share >= FEW:
         return True
     if share >= FEW:
@@ -209,7 +262,8 @@ def judge(b: Block) -> bool | None:
 def main_text(page: str) -> str:
     """The main text of a page: its good blocks, joined by newlines; empty if there are none."""
     found = blocks(page)
-    labels = [judge(b) for b in found]
+    known = spoken(found)
+    labels = [judge(b, known) for b in found]
     for level in (2, 1):
         if any(b.region >= level and label is not False for b, label in zip(found, labels, strict=True)):
             chosen = [i for i, b in enumerate(found) if b.region >= level]
@@ -251,7 +305,8 @@ def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, the main text and its n_chars (code points) of every row of pages (page_id, url, html).
 
     Null html counts as empty; a page without main text has an empty one. Repeated rows stay, other columns are
-    ignored, and an empty table gives no rows. Text that no tag closes or opens is read to the end of the page.
+    ignored, and an empty table gives no rows. Text that no tag closes or opens is read to the end of the page, and a
+    page of broken tags takes no longer than any other of its size.
     """
 
     def run(batches):
