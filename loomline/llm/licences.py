@@ -34,8 +34,13 @@ NOTICES = {
     "redistribution and use in source and binary forms": "bsd",
 }
 TAG = "spdx license identifier"
-RESTRICTIVE = {"proprietary", "cc-by-nc"}
-_FAMILY = re.compile(r"(mit|apache|agpl|lgpl|gpl|mpl|bsd|isc|epl|bsl|cc0|cc-by-nc|cc-by-sa|cc-by|unlicense)")
+# The families that identifiers are of, each the head of its identifiers, by what the licence lets one do.
+FREE = "mit apache agpl lgpl gpl mpl bsd isc epl eupl cddl bsl cc0 cc-by-sa cc-by unlicense zlib artistic ofl wtfpl python postgresql 0bsd".split()
+RESTRICTED = "cc-by-nc cc-by-nd busl sspl elastic polyform proprietary".split()
+RESTRICTIVE = frozenset(RESTRICTED)
+# the longest family first, and no letter after it (but for a version, as in gplv3)
+_FAMILY = re.compile(rf"({'|'.join(sorted(FREE + RESTRICTED, key=len, reverse=True))})(?=[-.+_]|v?[0-9]|\Z)")
+_CLOSED = re.compile(r"proprietary|commercial|confidential|internal")
 
 _OTHER = bytes(c if c >= 0x80 or chr(c).isascii() and chr(c).isalnum() else 0x20 for c in range(256))
 # bytes outside of [^\x00-\x2F\x3A-\x60\x7B-\x7F] become spaces, after A-Z have become a-z
@@ -96,7 +101,11 @@ def permitted(postfix: list, allowed) -> bool:
 
 
 def family(identifier: str) -> str:
+    """The family of an identifier; one that no family has is its own. LicenseRef- names count as proprietary where
+    they say so."""
     low = identifier.lower()
+    if low.startswith("licenseref-") and _CLOSED.search(low):
+        return "proprietary"
     m = _FAMILY.match(low)
     return m[1] if m else low
 
@@ -120,7 +129,7 @@ class Scanner:
         flat = text.encode().translate(_LOWER)
         found = flat.split()  # only spaces are left of white space
         line = " " + b" ".join(found).decode() + " "
-        places, base, labels, tag = [], set(), set(), False
+        places, base, labels, tag, notices = [], set(), set(), False, []
         # the automaton reports matches that overlap, also at a shared space
         for end, (phrase, label) in self.tree.iter(line):
             if phrase in BASE:
@@ -129,7 +138,13 @@ class Scanner:
             elif phrase == TAG:
                 tag = True
             else:
-                labels.add(label)
+                # a notice counts for those that lie within it; ends never fall here
+                begin = end - len(phrase)
+                while notices and notices[-1][0] >= begin:
+                    notices.pop()
+                if not notices or notices[-1][1] < end:
+                    notices.append((begin, end, label))
+        labels |= {label for _, _, label in notices}
         expressions = []
         if tag:
             stop = -1
@@ -182,7 +197,7 @@ def _scan(batches):
 def licences(docs: DataFrame) -> DataFrame:
     """What every row of docs (doc_id, text) says of its licence.
 
-    n_base counts all places of the base phrases, first_word and last_word are their smallest and largest start in
+    A notice within a longer one gives no label of its own. n_base counts all places of the base phrases, first_word and last_word are their smallest and largest start in
     words from 0 (else null). labels are those of base phrases, other notices and identifier tags, score is the share
     of them that lets the text be used (0 without any), expressions holds the tags' expressions in postfix order.
     Null texts count as empty, repeated rows stay, other columns are ignored.
