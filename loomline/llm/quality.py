@@ -19,6 +19,7 @@ from loomline.llm.shared import only
 
 SAMPLE = 5000  # labelled documents that the field is learned from, at most
 SEGMENT = 64  # lines in a row of which learning sees the chain
+LINES = 8 * SEGMENT  # lines of one document that the field is learned from, at most: segments spread over all of it
 BINS = 8
 THRESHOLD = 0.3
 EMPTY = 0.0  # the score of a text without a line
@@ -166,18 +167,26 @@ def fit(docs: list[tuple[np.ndarray, int]], steps: int = 120, rate: float = 0.1,
     return Field(edges, params[:width], params[width:].reshape(2, 2))
 
 
+def _spread(x: np.ndarray) -> np.ndarray:
+    """All lines of a document, or of a longer one LINES in segments at equal distances from its first to its last."""
+    if len(x) <= LINES:
+        return x
+    begins = np.linspace(0, len(x) - SEGMENT, LINES // SEGMENT).astype(np.int64)
+    return np.concatenate([x[b : b + SEGMENT] for b in begins])
+
+
 def _lines(batches):
     for batch in batches:
         rows = []
         for _, _, raw, at in groups_of(*texts_of(batch.column("text"))):
             x, _, begin = line_features(raw, at)
-            rows += [x[b:e].astype(np.float32).tobytes() for b, e in zip(begin[:-1], begin[1:], strict=True)]
+            rows += [_spread(x[b:e]).astype(np.float32).tobytes() for b, e in zip(begin[:-1], begin[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], ["doc_id", "lines"])
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | None:
-    """A field from documents outside of fold 0 with a label: at most sample of them, chosen by their doc_id's hash.
-    None if not both labels are there. Of several labels of one doc_id the lower counts."""
+    """A field from documents outside of fold 0 with a label: at most sample of them, chosen by their doc_id's hash, and
+    at most LINES lines of each, so that the driver gets no more than sample * LINES rows of features. None if not both labels are there. Of several labels of one doc_id the lower counts."""
     labels = only(labels, "doc_id", "quality").where((fold() != 0) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ids = sample_ids(labels, sample)
     marks = {r.doc_id: r.quality for r in labels.join(F.broadcast(ids), "doc_id").collect()}  # at most sample rows
@@ -214,7 +223,11 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs, all columns, without the rows whose text is predicted to be of bad quality."""
+    """docs, all columns, without the rows whose text is predicted to be of bad quality.
+
+    Null texts and those without words score EMPTY and so are rejected. Repeated rows stay or go together. Without both
+    labels among the labelled documents there is no field, and every row with words stays. An empty table stays empty.
+    """
     field = learned(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
