@@ -5,8 +5,9 @@ values have equal pseudonyms in all documents, different values of a kind differ
 back. Digits stay digits, letters stay letters of the same case, and separators stay. A network whose permuted domain
 isn't the kind's (all dates, all numbers with a right check digit) walks its cycle until it comes back into it.
 
-Kinds: email (its local part, and the host's first label), phone, card (Luhn), iban (mod 97), ssn, ipv4, ipv6, mac,
-date (a real calendar date, 1900 to 2099), secret (access keys, tokens, passwords and the like).
+Kinds: email (its local part, and the host's first label), phone (with a prefix, brackets or a national pattern), card
+(an issuer's prefix and length, and Luhn), iban (mod 97), ssn, ipv4, ipv6, mac, date (a real calendar date in numbers,
+1900 to 2099), secret (access keys, tokens, passwords and the like). Bare runs of digits and dates in words are none.
 """
 
 from __future__ import annotations
@@ -68,6 +69,24 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+# First digits and lengths of the numbers that card issuers give out.
+ISSUERS = re.compile(
+    r"""4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})                                                      # Visa
+    |(?:5[1-5][0-9]{2}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12}        # Mastercard
+    |3[47][0-9]{13}                                                                           # American Express
+    |3(?:0[0-5]|[689][0-9])[0-9]{11,16}                                                       # Diners Club
+    |(?:6011|64[4-9][0-9]|65[0-9]{2})[0-9]{12,15}                                             # Discover
+    |62[0-9]{14,17}                                                                           # UnionPay
+    |35(?:2[89]|[3-8][0-9])[0-9]{12,15}                                                       # JCB
+    |(?:50|5[6-9]|6[0379])[0-9]{10,17}                                                        # Maestro""",
+    re.VERBOSE,
+)
+
+
+def card_ok(digits: str) -> bool:
+    return ISSUERS.fullmatch(digits) is not None and luhn(digits)
+
+
 def iban_ok(text: str) -> bool:
     s = re.sub(r"[ -]", "", text).upper()
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
@@ -134,7 +153,7 @@ class Pseudonyms:
             # equal numbers have equal pseudonyms however they are written
             digits = "".join(c for c in text if c in DIGIT)
             if kind == "card":
-                new = self._walk(kind, digits, luhn, back)
+                new = self._walk(kind, digits, card_ok, back)
             elif kind == "ssn":
                 new = self._walk(kind, digits, lambda s: ssn_ok(s), back)
             else:
@@ -212,9 +231,18 @@ def ssn_ok(text: str) -> bool:
     return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
 
 
+# Without a prefix or brackets: three, three and four digits, or a trunk 0 and groups, with one kind of separator.
+NATIONAL = re.compile(r"(?:1[ .-])?[2-9][0-9]{2}([ .-])[2-9][0-9]{2}\1[0-9]{4}|0[1-9][0-9]{0,3}([ .-])[0-9]{2,4}(?:\2[0-9]{2,4}){1,3}")
+
+
 def phone_ok(text: str) -> bool:
+    """With a plus, an international 00 or brackets 7 to 15 digits count; else only a national pattern does."""
     digits = sum(c in DIGIT for c in text)
-    return 7 <= digits <= 15 and (text.startswith(("+", "(", "00")) or digits >= 10)
+    if text.startswith("+") or "(" in text:
+        return 7 <= digits <= 15
+    if text.startswith("00"):
+        return 10 <= digits <= 15 and text[2] in "123456789" and any(c in " .-" for c in text)
+    return 9 <= digits <= 11 and NATIONAL.fullmatch(text) is not None
 
 
 # Edges: no letter, digit or mark of the same value may go on at either side.
@@ -222,9 +250,9 @@ _DETECT = re.compile(
     r"""(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![\w@]))
     |(?P<secret>\b(?:AKIA|ASIA)[0-9A-Z]{16}\b
         |\bgh[pousr]_[A-Za-z0-9]{36,}\b|\bxox[abprs]-[A-Za-z0-9-]{10,}|\bsk-[A-Za-z0-9_-]{20,}
-        |\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}
-        |(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b["']?[ ]?[=:][ ]?["']?(?=[^\s"']*[0-9])[^\s"',;]{6,})
         |"[0-9a-fA-F]{32,64}"|(?<![\w])[0-9a-fA-F]{40}(?![\w]))
+    |(?P<signed>\beyJ)
+    |(?P<keyed>(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b["']?[ ]?[=:][ ]?["']?))
     |(?P<iban>(?<![\w])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![\w]))
     |(?P<mac>(?<![\w:-])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![\w:-]))
     |(?P<ipv6>(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:]))
@@ -232,7 +260,7 @@ _DETECT = re.compile(
     |(?P<ipv4>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9]))
     |(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
     |(?P<card>(?<![\w])[0-9](?:[ -]?[0-9]){12,18}(?![\w]))
-    |(?P<phone>(?<![\w+])(?:(?:\+|00)?[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![\w]))""".replace("\\6", "(?P=ds)").replace("\\7", "(?P=de)").replace("{4}([-/.])", "{4}(?P<ds>[-/.])").replace("[0-9]{1,2}([-/.])", "[0-9]{1,2}(?P<de>[-/.])"),
+    |(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,6}|(?:(?:\+|00)?[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4})(?![\w]))""".replace("\\6", "(?P=ds)").replace("\\7", "(?P=de)").replace("{4}([-/.])", "{4}(?P<ds>[-/.])").replace("[0-9]{1,2}([-/.])", "[0-9]{1,2}(?P<de>[-/.])"),
     re.VERBOSE,
 )
 SECRET_VALUE = re.compile(r"""((?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?[ ]?[=:][ ]?["']?)|"|AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-|)(.*?)("?)\Z""", re.DOTALL)
@@ -246,33 +274,86 @@ VALID: dict[str, Callable[[str], object]] = {
     "date": parse_date,
     "ipv4": lambda s: all(int(p) < 256 and (p == "0" or p[0] != "0") for p in s.split(".")),
     "ssn": ssn_ok,
-    "card": lambda s: luhn("".join(c for c in s if c in DIGIT)) and len(set(s) & set(DIGIT)) > 1,
+    "card": lambda s: card_ok("".join(c for c in s if c in DIGIT)) and len(set(s) & set(DIGIT)) > 1,
     "phone": phone_ok,
 }
 KINDS = list(VALID)
+_GROUPS = (*KINDS, "keyed", "signed")
+
+
+class _Runs:
+    """Ends of runs of a pattern's characters in a text. The last run is kept, so that a text full of places that ask
+    for the end of one long run is read once."""
+
+    def __init__(self, text: str, pattern: re.Pattern):
+        self.text, self.pattern, self.begin, self.stop = text, pattern, 0, -1
+
+    def end(self, at: int) -> int:
+        if not self.begin <= at < self.stop:
+            m = self.pattern.match(self.text, at)
+            self.begin, self.stop = at, m.end()
+        return max(at, self.stop)
+
+
+_VALUE, _WIDE, _TOKEN = (re.compile(c) for c in (r"""[^\s"',;]*""", r"""[^\s"']*""", r"[A-Za-z0-9_-]*"))
+_NUMBER = re.compile(r"[0-9]|\Z")
+
+
+class _Secrets:
+    """Ends of values of any length: what follows a keyword, and signed tokens of three parts."""
+
+    def __init__(self, text: str):
+        self.text, self.value, self.wide = text, _Runs(text, _VALUE), _Runs(text, _WIDE)
+        self.parts = [_Runs(text, _TOKEN) for _ in range(3)]
+        self.digit = -1
+
+    def keyed(self, at: int) -> int | None:
+        """The end of a value of six characters or more from at on, with a digit before white space or a quote."""
+        end = self.value.end(at)
+        if end - at < 6:
+            return None
+        if self.digit < at:
+            self.digit = _NUMBER.search(self.text, at).start()
+        return end if self.digit < self.wide.end(at) else None
+
+    def signed(self, at: int) -> int | None:
+        at += 3
+        for k, (runs, least) in enumerate(zip(self.parts, (8, 8, 4), strict=True)):
+            end = runs.end(at)
+            if end - at < least or k < 2 and self.text[end : end + 1] != ".":
+                return None
+            at = end + 1
+        return end
 
 
 def find(text: str):
     """(kind, start, end) of every valid value, from left to right. What fails its kind's test may yet be another
-    kind that begins at the same place or after it."""
-    at = 0
+    kind that begins at the same place or after it. The time is in proportion to the text."""
+    at, secrets = 0, _Secrets(text)
     while m := _DETECT.search(text, at):
-        kind = m.lastgroup if m.lastgroup in VALID else next(k for k in KINDS if m[k] is not None)
+        kind = m.lastgroup if m.lastgroup in _GROUPS else next(k for k in _GROUPS if m[k] is not None)
         s, e = m.span(kind)
+        if kind in ("keyed", "signed"):
+            e = secrets.keyed(e) if kind == "keyed" else secrets.signed(s)
+            kind = "secret"
         if kind in ("card", "phone") and (other := _NEXT.search(text, s, e + 48)) and s < other.start() < e:
             e = other.start()  # an address or a long number begins there
-        if VALID[kind](text[s:e]):
+        if e is not None and VALID[kind](text[s:e]):
             yield kind, s, e
             at = e
         elif kind in ("card", "date", "ipv4", "ssn", "iban") and (p := _PHONE.match(text, s)) and phone_ok(p[0]):
             yield "phone", s, p.end()
             at = p.end()
+        elif kind in ("phone", "card") and (p := _LOCAL.match(text, s)):
+            yield "phone", s, p.end()
+            at = p.end()
         else:
-            at = _STEP.match(text, s).end() if _STEP.match(text, s) else s + 1
+            at = m.end() if kind == "secret" else _STEP.match(text, s).end() if _STEP.match(text, s) else s + 1
 
 
 _NEXT = re.compile(r" (?=(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w])|[0-9]{13,19}(?![\w]))")
-_PHONE = re.compile(r"(?:(?:\+|00)?[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![\w])")
+_PHONE = re.compile(r"(?:\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,6}|(?:(?:\+|00)?[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4})(?![\w])")
+_LOCAL = re.compile(rf"(?:{NATIONAL.pattern})(?![\w])")
 _STEP = re.compile(r"[\w+(]+")
 # What every branch of _DETECT needs, in RE2's syntax: a text without any of it holds no value. Kinds that can do without
 # a digit and an @ are keys with a prefix, and hexadecimal values and addresses of letters alone.
