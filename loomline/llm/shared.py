@@ -17,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """The folder named in spark.checkpoint.dir; where that is unset, a temporary one of a local session. Executors of
+    a cluster could not see that, so there it is an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not _own_dirs:
         _own_dirs.append(tempfile.TemporaryDirectory(prefix="loomline-", ignore_cleanup_errors=True))
         atexit.register(_own_dirs[0].cleanup)
