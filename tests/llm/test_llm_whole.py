@@ -1,9 +1,12 @@
 """Training-data operators do the whole job: what a former short cut left out is there."""
 
+import time
+
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from loomline.llm import html_main, licences, pii, queries
+from loomline.llm import fingerprints, hashing, html_main, language, licences, ngram_join, pii, quality, queries
 
 KEY = b"test"
 
@@ -69,3 +72,149 @@ def test_clutter_names():
         assert html_main._named(name), name
     for name in ("has-sidebar", "overflow-hidden", "related-work", "entry-header", "post", "advice", "layout-sidebar-right", "no-comments"):
         assert not html_main._named(name), name
+
+
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a.replace("a0 ", "x0 ")
+    rows = [(1, a, 1), (5, a, 2), (5, b, 3), (5, c, 4), (5, c, 5), (7, near, 6), (8, near, 7), (9, c, 8)]
+    kept = ngram_join.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, k1 int")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (5, b), (5, c)])
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, k1 int")).collect()
+    assert sorted(r.component_id for r in found) == [1, 1, 1, 1, 5, 5, 5, 5]
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a x="', "<div class=ad>", "<div></p>", '<a b=">" ', "<script ", "</script ", "<"])
+def test_broken_pages_take_linear_time(unit):
+    began = time.perf_counter()
+    html_main.main_text(unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - began < 6  # about one second; more than ten minutes when quadratic
+
+
+@pytest.mark.parametrize("unit", ["token=", "eyJ", "eyJabcdefgh-", "-eyJabcdefgh.", "token=a,"])
+def test_hostile_values_take_linear_time(unit):
+    began = time.perf_counter()
+    for _ in pii.find(unit * (1_000_000 // len(unit))):
+        pass
+    assert time.perf_counter() - began < 6
+
+
+def test_long_attribute_and_other_languages():
+    line = "Это первый абзац статьи на русском языке, который достаточно длинный, чтобы считаться основным текстом страницы, и в нём нет ни одного знакомого слова."
+    assert html_main.main_text(f"<article><p>{LINE}</p><img alt=\"{'q>' * 500_000} src=q\"><p>{LINE}</p></article>").split("\n") == [LINE, LINE]
+    page = f"<ul><li><a href=x>Меню</a></li></ul><div><p>{line}</p><p>{line}</p><p>Коротко.</p><p>{line}</p></div><div class=sidebar><p>{line}</p></div>"
+    assert html_main.main_text(page).split("\n") == [line, line, "Коротко.", line]
+
+
+def test_frequent_ngrams_are_counted_whole():
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["xx"]), pa.array(["ab " * 100_000])], ["doc_id", "lang", "text"])
+    out = next(iter(language._vectors([batch])))
+    assert np.frombuffer(out.column("counts")[0].as_py(), np.uint32).max() >= 100_000
+
+
+def test_plain_numbers_are_no_phones():
+    text = "Order 123456789012, id 20240101123456, pi 3.14159265358, 4111 1111 1111 1112 and 9999999999999995 on 1 January 1980"
+    assert not list(pii.find(text))
+    found = [text_[s:e] for text_ in ["call 415-555-2671 020 7946 0958, (212) 555-0100, 0049 170 1234567 or +33 1 70 18 99 00"] for _, s, e in pii.find(text_)]
+    assert found == ["415-555-2671", "020 7946 0958", "(212) 555-0100", "0049 170 1234567", "+33 1 70 18 99 00"]
+
+
+def test_licence_classes():
+    scan = licences.Scanner().scan
+    assert scan("This is licensed under CC BY-NC 4.0.")["labels"] == ["cc-by-nc"]
+    for name, label, score in (("MITNFA", "mitnfa", 1), ("BUSL-1.1", "busl", 0), ("SSPL-1.0", "sspl", 0), ("CC-BY-ND-4.0", "cc-by-nd", 0), ("LicenseRef-Proprietary", "proprietary", 0), ("GPLv3", "gpl", 1), ("MIT", "mit", 1)):
+        r = scan(f"SPDX-License-Identifier: {name}")
+        assert (r["labels"], r["score"]) == ([label], score)
+
+
+def test_merged_fingerprints(spark):
+    texts = [("x", "a b c d e f g h"), ("x", "c d e f g h i j k l"), ("y", None), ("x", ""), (None, "one two"), ("z", " ".join(map(str, range(500))))]
+    docs = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(texts)], "doc_id long, k string, text string")
+    prints = fingerprints.fingerprints(docs).join(docs.drop("text"), "doc_id")
+    sets = {k: np.unique(np.concatenate([np.zeros(0, np.uint64), *hashing.shingle_sets(pa.array([t for g, t in texts if g == k], pa.string()))])) for k, _ in texts}
+    for fraction in (0.25, 0.01):
+        found = {r.k: r for r in fingerprints.merged_fingerprints(prints, "k", fraction).collect()}
+        assert {k: r.n_texts for k, r in found.items()} == {"x": 3, "y": 1, None: 1, "z": 1}
+        assert found["y"].fingerprint == ""
+        for k in ("z", None):
+            kept = fingerprints.sketch(sets[k], fraction)
+            assert k is None or found[k].fingerprint == fingerprints.encoded(kept, fraction)
+        low = [h for h in sets["x"] >> np.uint64(16) if int(h) < int(fraction * (1 << 48))]
+        assert [int(h) for h in fingerprints.decoded(found["x"].fingerprint)] == [int(h) for h in low] or not low and found["x"].fingerprint[0] == "~"
+    assert fingerprints.merged_fingerprints(prints.where("false"), "k").count() == 0
+    pairs = spark.createDataFrame([("0" * 12 + "1" * 12, "1" * 12 + "2" * 12), ("", "1" * 12)], "a string, b string")
+    assert [r[0] for r in pairs.select(fingerprints.containment_of("a", "b")).collect()] == [0.5, 0.0]
+
+
+def test_learning_reads_a_bounded_number_of_lines():
+    x = np.arange(10_000.0)[:, None]
+    got = quality._spread(x)
+    assert len(got) == quality.LINES and got[0] == 0 and got[-1] == 9999 and (quality._spread(x[:500]) == x[:500]).all()
+
+
+def test_held_out_queries_against_brute_force(spark):
+    """op2 and op10 row by row, without Spark's batches, and op7's folds and thresholds."""
+    import zlib
+
+    from conftest import SMALL
+
+    from loomline.llm.sampling import fold
+    from loomline.llm.shared import table
+
+    docs = table(spark, SMALL, "documents")
+    rows = docs.collect()
+    names = pii.Pseudonyms(queries.KEY)
+    want = {r.doc_id: pii.pseudonymised(r.text or "", names) for r in rows}
+    for r in queries.op2_feistel_pii(spark, SMALL).collect():
+        text, counts = want[r.doc_id]
+        assert (r.text or "") == text and r.n_values == sum(counts.values()) and all(r[f"n_{k}"] == counts.get(k, 0) for k in pii.KINDS)
+    model = language.learned(docs.where(fold() != 0))
+    # document frequencies counted one text at a time
+    training = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang is not None]
+    df = np.zeros(language.WIDTH)
+    for r in training:
+        df[language.ngrams(r.text or "")[0]] += 1
+    assert np.allclose(model.idf, np.log((1 + len(training)) / (1 + df)) + 1)
+    texts = {r.doc_id: r.text for r in rows}
+    for r in queries.op10_language_id(spark, SMALL).collect():
+        lang, score = model.predict(texts[r.doc_id])
+        assert (r.lang_pred, r.held_out) == (lang, zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and abs(r.score - score) < 1e-9
+
+
+def _chain(e, t):
+    """Probabilities of good by forward and backward products, one line at a time."""
+    f, b = [], []
+    for k, x in enumerate(e):
+        own = np.array([1.0, np.exp(x)])
+        f.append(own if not k else own * (f[-1] @ np.exp(t)))
+        f[-1] = f[-1] / f[-1].sum()
+    for k in reversed(range(len(e))):
+        b.append(np.ones(2) if k == len(e) - 1 else np.exp(t) @ (np.array([1.0, np.exp(e[k + 1])]) * b[-1]))
+        b[-1] = b[-1] / b[-1].sum()
+    both = np.array(f) * np.array(b[::-1])
+    return both[:, 1] / both.sum(axis=1)
+
+
+def test_quality_query_against_brute_force(spark):
+    from conftest import SMALL
+
+    from loomline.llm.shared import table
+
+    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+    field = quality.learned(docs, labels)
+    found = {r.doc_id: r for r in queries.op7_line_field_quality(spark, SMALL).collect()}
+    for r in docs.collect():
+        raw = np.frombuffer((r.text or "").encode(), np.uint8)
+        x, size, begin = quality.line_features(raw, np.array([0, len(raw)]))
+        want = quality.EMPTY
+        if len(x):
+            want = 0.0
+            f = x.shape[1]
+            own = [[int((field.edges[j] <= row[j]).sum()) + j * quality.BINS for j in range(f)] for row in x]
+            e = []
+            for k in range(len(x)):
+                before = [p + f * quality.BINS for p in own[k - 1]] if k else [3 * f * quality.BINS] * f
+                after = [p + 2 * f * quality.BINS for p in own[k + 1]] if k + 1 < len(x) else [3 * f * quality.BINS + 1] * f
+                e.append(sum(field.weights[p] for p in own[k] + before + after))
+            want = float((_chain(e, field.transitions) * size).sum() / size.sum())
+        assert abs(found[r.doc_id].score - want) < 1e-6 and found[r.doc_id].predicted == (found[r.doc_id].score >= 0.3)
