@@ -1,37 +1,59 @@
-"""Folds whose steps depend on the ones before: fusion of beats, and packing into sessions. All run as SQL aggregates
-over a scene's ordered array; a scene is what one row has to hold."""
+"""Folds whose steps depend on the ones before: fusion of beats, and packing into sessions. A scene's beats go through
+them in order in one row, in time and memory that follow their number."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.strings import collapse
 from loomline.operators.segments import MAX_CHARS, packed_pieces
 
+SPEAKERS, SESSION_CHARS = 4, 3000  # fixed: what a session holds
 
-def _ordered(beats: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
+
+def _folded(beats: DataFrame, key: str, order: str, columns: list[str], fold, schema: str) -> DataFrame:
+    """The rows that fold makes of each key's beats in order: fold takes a list of dicts and yields tuples."""
     held = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), *[F.col(c) for c in columns])))
-    return beats.groupBy(key).agg(held.alias("beats"))
+    scenes = beats.groupBy(F.col(key).alias("key")).agg(held.alias("beats"))
+    kinds = [(f.split()[0], f.split()[1]) for f in schema.split(", ")]
+    arrow = {"long": pa.int64(), "string": pa.string()}
 
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = list(fold(batch.column("beats")[i].as_py()))
+                own = pa.array([batch.column("key")[i].as_py()] * len(rows), batch.schema.field("key").type)
+                yield pa.RecordBatch.from_arrays([own, *(pa.array([r[j] for r in rows], arrow[k]) for j, (_, k) in enumerate(kinds))], ["key", *(n for n, _ in kinds)])
 
-def fused(beats: DataFrame, key: str, order: str, most: int = MAX_CHARS) -> DataFrame:
-    """(key, fused_no, type, speaker, text, n_beats) of beats (key, order, type, speaker, text): a beat joins the one
-    before if the types agree, the joined text is within the limit, and it is narration or has the same known speaker."""
-    one = "struct<type:string,speaker:string,text:string,n:int>"
-    start = F.struct(F.array().cast(f"array<{one}>").alias("done"), F.lit(None).cast(one).alias("now"))
+    out = scenes.mapInArrow(run, f"key {scenes.schema['key'].dataType.simpleString()}, {schema}")
+    return out.withColumnRenamed("key", key)
 
-    def step(acc, b):
-        now = acc["now"]
-        same = (b["type"] == "narration") | (b["speaker"].isNotNull() & (b["speaker"] != "") & (b["speaker"] != "Unknown") & (b["speaker"] == now["speaker"]))
-        joins = now.isNotNull() & (now["type"] == b["type"]) & (F.length(now["text"]) + 1 + F.length(b["text"]) <= most) & same
-        alone = F.struct(b["type"].alias("type"), b["speaker"].alias("speaker"), b["text"].alias("text"), F.lit(1).alias("n"))
-        both = F.struct(now["type"].alias("type"), now["speaker"].alias("speaker"), F.trim(F.concat(now["text"], F.lit(" "), b["text"])).alias("text"), (now["n"] + 1).alias("n"))
-        joins = F.coalesce(joins, F.lit(False))
-        return F.struct(F.when(joins | now.isNull(), acc["done"]).otherwise(F.array_append(acc["done"], now)).alias("done"), F.when(joins, both).otherwise(alone).cast(one).alias("now"))
 
-    folded = _ordered(beats, key, order, "type", "speaker", "text").select(key, F.aggregate("beats", start, step, lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["now"]))).alias("out"))
-    return folded.select(key, F.posexplode("out").alias("fused_no", "b")).select(key, "fused_no", "b.type", "b.speaker", "b.text", F.col("b.n").alias("n_beats"))
+def fused(beats: DataFrame, key: str, order: str, most: int = MAX_CHARS) -> DataFrame:
+    """(key, fused_no, type, speaker, text, n_beats) of beats (key, order, type, speaker, text): a beat joins the one
+    before if the types agree, the joined text is within the limit, and it is narration or has the same known speaker.
+    source_span, where beats have it, is joined of the spans that aren't empty. A null text counts as empty."""
+    spans = "source_span" in beats.columns
+
+    def fold(rows):
+        no, now = 0, None
+        for b in rows:
+            text, span = b["text"] or "", b["source_span"] or "" if spans else ""
+            if now is not None:
+                known = b["speaker"] not in (None, "", "Unknown") and b["speaker"] == now[1]
+                if b["type"] == now[0] and len(now[2]) + 1 + len(text) <= most and (b["type"] == "narration" or known):
+                    now = (*now[:2], f"{now[2]} {text}".strip(), now[3] + 1, [*now[4], span] if span else now[4])
+                    continue
+                yield (no, *now[:4], *([" ".join(now[4])] if spans else []))
+                no += 1
+            now = (b["type"], b["speaker"], text, 1, [span] if span else [])
+        if now is not None:
+            yield (no, *now[:4], *([" ".join(now[4])] if spans else []))
+
+    schema = "fused_no long, type string, speaker string, text string, n_beats long" + (", source_span string" if spans else "")
+    return _folded(beats, key, order, ["type", "speaker", "text", *(["source_span"] if spans else [])], fold, schema)
 
 
 def split_again(beats: DataFrame, key: str, most: int = MAX_CHARS) -> DataFrame:
@@ -43,23 +65,23 @@ def split_again(beats: DataFrame, key: str, most: int = MAX_CHARS) -> DataFrame:
     return out.drop("piece", "__spans")
 
 
-def sessions(beats: DataFrame, key: str, order: str, speakers: int = 4, most: int = 3000) -> DataFrame:
+def sessions(beats: DataFrame, key: str, order: str, speakers: int = SPEAKERS, most: int = SESSION_CHARS) -> DataFrame:
     """beats (key, order, speaker, text) with session_no from 1: a session closes before a further new speaker once it
     has so many, or before its characters would exceed the limit; a longer beat is a session by itself."""
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.array().cast("array<string>").alias("who"), F.lit(0).alias("chars"), F.lit(1).alias("no"), F.lit(0).alias("n"))
-
-    def step(acc, b):
-        new = ~F.array_contains(acc["who"], b["speaker"])
-        close = (acc["n"] > 0) & ((new & (F.size(acc["who"]) >= speakers)) | (acc["chars"] + F.length(b["text"]) > most))
-        no = F.when(close, acc["no"] + 1).otherwise(acc["no"])
-        who = F.when(close, F.array(b["speaker"])).when(new, F.array_append(acc["who"], b["speaker"])).otherwise(acc["who"])
-        chars = F.when(close, F.length(b["text"])).otherwise(acc["chars"] + F.length(b["text"]))
-        return F.struct(F.array_append(acc["out"], no).alias("out"), who.alias("who"), chars.alias("chars"), no.alias("no"), F.when(close, 1).otherwise(acc["n"] + 1).alias("n"))
-
-    held = _ordered(beats.withColumn("speaker", F.coalesce("speaker", F.lit(""))), key, order, "speaker", "text")
-    held = held.withColumn("nos", F.aggregate("beats", start, step, lambda acc: acc["out"]))
-    zipped = F.explode(F.arrays_zip("beats", "nos"))
-    return held.select(key, zipped.alias("z")).select(key, F.col("z.beats.o").alias(order), F.col("z.beats.speaker").alias("speaker"), F.col("z.beats.text").alias("text"), F.col("z.nos").alias("session_no"))
+
+    def fold(rows):
+        no, who, chars = 1, set(), 0
+        for b in rows:
+            n = len(b["text"] or "")
+            if who and (b["speaker"] not in who and len(who) >= speakers or chars + n > most):
+                no, who, chars = no + 1, set(), 0
+            who.add(b["speaker"])
+            chars += n
+            yield b["o"], b["speaker"], b["text"], no
+
+    kind = beats.schema[order].dataType.simpleString()
+    out = _folded(beats.withColumn("speaker", F.coalesce("speaker", F.lit(""))), key, order, ["speaker", "text"], fold, "o long, speaker string, text string, session_no long")
+    return out.withColumn(order, F.col("o").cast(kind)).select(key, order, "speaker", "text", "session_no")
 
 
 def session_scripts(planned: DataFrame, key: str, order: str) -> DataFrame:

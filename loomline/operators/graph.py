@@ -2,29 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomline-"))
-    return df.checkpoint()
+from loomline.operators.cut import written
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component) of nodes (node) and edges (a, b): the smallest node that can be reached. Every round takes the
-    least label among the neighbours, then the label of that label, and is checkpointed."""
-    both = _cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+    least label among the neighbours, then the label of that label, and is written once."""
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
     labels = nodes.select("node").distinct().withColumn("component", F.col("node"))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("m"))
         step = labels.join(near, labels.node == near.a, "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component"))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        after = _cut(step.join(jump, "component", "left").select("node", "old", F.coalesce("far", "component").alias("component")))
-        if not after.where("old <> component").limit(1).count():
+        after = written(step.join(jump, "component", "left").select("node", "old", F.coalesce("far", "component").alias("component")), "labels")
+        if after.where("old <> component").isEmpty():
             return after.select("node", "component")
         labels = after.select("node", "component")

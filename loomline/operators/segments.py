@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.functions.strings import collapse, strip
+from loomline.functions.strings import clean_markdown, collapse, label_stem, strip
 
 MAX_CHARS = 375  # fixed: what a packed piece or a fused beat may have
 
@@ -37,24 +38,64 @@ def sentences(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(key, F.posexplode(sentences_of(strip(F.col(text)))).alias("sentence_no", "text"))
 
 
+_SENTENCE_END = re.compile(r"(?<=[.!?])[ \t\n\x0b\f\r]+")
+_BLANK_LINES = re.compile(r"\n[ \t\n\x0b\f\r]*\n")
+_WHITE = " \t\n\x0b\f\r"
+
+
+def _grouped(parts: list[str], most: int, counted: int, joint: str) -> list[str]:
+    """Parts in a row, joined: a part opens a new group where what the group counts so far and it exceed the limit."""
+    out: list[list[str]] = []
+    size = 0
+    for part in parts:
+        if out and size + counted + len(part) <= most:
+            out[-1].append(part)
+        else:
+            out.append([part])
+            size = 0
+        size += len(part) + len(joint)
+    return [joint.join(g) for g in out]
+
+
+def _each(fold):
+    """An expression that applies fold to a string column: an array of strings; null for null."""
+
+    def run(texts):
+        import pandas as pd
+
+        return pd.Series([None if t is None else fold(t) for t in texts])
+
+    return F.pandas_udf(run, "array<string>")
+
+
 def packed_pieces(text: Column, most: int = MAX_CHARS) -> Column:
     """An array of pieces of whole sentences: a sentence opens a new piece where the piece so far and it would exceed
     the limit. A text within the limit is one piece, and a longer sentence is one by itself."""
-    text = strip(text)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("size"))
 
-    def step(acc, s):
-        close = (acc["now"] != "") & (acc["size"] + 1 + F.length(s) > most)
-        return F.struct(
-            F.when(close, F.array_append(acc["done"], acc["now"])).otherwise(acc["done"]).alias("done"),
-            F.when(close | (acc["now"] == ""), s).otherwise(F.concat(acc["now"], F.lit(" "), s)).alias("now"),
-            F.when(close, F.length(s) + 1).otherwise(acc["size"] + F.length(s) + 1).alias("size"),
-        )
+    def fold(t: str) -> list[str]:
+        t = t.strip(_WHITE)
+        if len(t) <= most:
+            return [t] if t else []
+        # a piece counts a space after each of its sentences, and one more before the next
+        return _grouped([s for s in _SENTENCE_END.split(t) if s], most, 1, " ")
+
+    return _each(fold)(text)
+
+
+def chapter_pieces(text: Column, separator: str = "\n\n", most: int = MAX_CHARS) -> Column:
+    """The packed pieces of all paragraphs of a chapter's text, in order, as one array."""
 
-    def finish(acc):
-        return F.when(acc["now"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["now"]))
+    def fold(t: str) -> list[str]:
+        out: list[str] = []
+        for p in t.split(separator):
+            p = p.strip(_WHITE)
+            if len(p) <= most:
+                out += [p] if p else []
+            else:
+                out += _grouped([s for s in _SENTENCE_END.split(p) if s], most, 1, " ")
+        return out
 
-    return F.when(F.length(text) <= most, F.filter(F.array(text), lambda x: x != "")).otherwise(F.aggregate(sentences_of(text), start, step, finish))
+    return _each(fold)(text)
 
 
 def lecture_beats(docs: DataFrame, key: str, separator: str = "\n\n", most: int = MAX_CHARS) -> DataFrame:
@@ -123,20 +164,42 @@ def scenes(parts: DataFrame, bounds: DataFrame, key: str) -> DataFrame:
     return texts.where(strip(F.col("text")) != "").select(key, F.row_number().over(Window.partitionBy(key).orderBy("bound_no")).alias("scene_no"), "text")
 
 
-ROSTER_WORDS = r"(?i)\b(?:characters|cast|personnages|distribution|dramatis personae|roles|rôles)\b"
-SCENE_WORDS = r"(?i)^[#*\s]*(?:act|acte|scene|scène|tableau|part|partie|prologue|epilogue|épilogue)\b[\s.:–—-]*(?:[0-9]+|[ivxlc]+)?\b"
+# Shapes of scene headers, the words that a cast's heading begins with, and labels of groups.
+SCENE_HEADERS = (
+    r"^#{1,6}\s*\d+\s*[.\\)]?\s*\S",
+    r"(?i)^\s*\**\s*(?:s[ée]quence|sc[èe]ne|acte?|p[ée]riode|tableau|partie)\s+[\divxlc]+",
+    r"^\*\*\s*\d+\s*\\?\.?\s*\*\*\s*$",
+    r"^\*{0,2}\s*\d+\s*[–—-]\s+\S",
+)
+ROSTER_HEADER = r"(?i)^\s*(?:les\s+)?(?:personnages?|characters?|cast|distribution|dramatis\s+person(?:ae|æ))\b.{0,40}$"
+GROUP_LABELS = ["tous", "toutes", "tous ensemble", "ensemble", "all", "choeur"]
 
 
 def is_scene_header(line: Column) -> Column:
-    """A heading with a number, a scene word with a numeral, a bold line that begins with a number, or "3 – Title"."""
-    return line.rlike(r"^#+\s.*\d") | line.rlike(SCENE_WORDS + r"[^a-z]*$") | line.rlike(r"^\*\*\s*\d+[^*]*\*\*\s*$") | line.rlike(r"^\s*\d+\s*[–—-]\s*\S")
+    """A heading that begins with a number, a structural word with a numeral, a bold number, or "3 – Title"."""
+    line, found = strip(line), F.lit(False)
+    for shape in SCENE_HEADERS:
+        found = found | line.rlike(shape)
+    return found
 
 
 def is_roster_header(line: Column) -> Column:
-    """A line with a word for the cast that is shaped like a heading."""
-    bare = collapse(F.regexp_replace(line, r"[#*:]", " "))
-    shaped = line.rlike(r"^#") | line.rlike(r"^\*\*[^*]+\*\*\s*:?\s*$") | ((F.upper(bare) == bare) & (F.lower(bare) != bare)) | (F.size(F.split(bare, " ")) <= 2)
-    return line.rlike(ROSTER_WORDS) & shaped
+    """A line that begins with a word for the cast and is shaped like a heading: marked as one, bold, in capitals, or of
+    one or two words."""
+    raw, bare = strip(line), F.regexp_replace(clean_markdown(line), r"^#+\s*", "")
+    shaped = raw.startswith("#") | (raw.startswith("**") & raw.endswith("**")) | (F.upper(bare) == bare) | (F.size(F.split(collapse(bare), " ")) <= 2)
+    return bare.rlike(ROSTER_HEADER) & shaped
+
+
+def is_group_label(label: Column) -> Column:
+    """Whether a speaker's label stands for several at once."""
+    return label_stem(label).isin(*GROUP_LABELS)
+
+
+def split_script(text: Column, most: int = 7000) -> Column:
+    """Parts of a script's text of at most so many characters, cut at blank lines; a longer block is a part by itself,
+    and a text within the limit is left as it is."""
+    return _each(lambda t: [t] if len(t) <= most else _grouped(_BLANK_LINES.split(t), most, 0, "\n\n"))(text)
 
 
 def script_sections(lines: DataFrame, key: str) -> DataFrame:
