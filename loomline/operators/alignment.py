@@ -3,18 +3,21 @@ anchors and fuzzy matches, overlaps with text nodes, and wrapping matches in the
 
 from __future__ import annotations
 
-import difflib
+import html
+import itertools
 import re
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEAD, TAIL, SHORT = 30, 30, 60  # fixed: anchors, and what is searched for whole
 FORWARD, BACKTRACK, SLACK, ROUNDS = 8000, 1500, 2000, 3  # fixed: search bounds
 FUZZY_WINDOW, FUZZY_SHARE, FUZZY_LEAST = 3000, 0.20, 20  # fixed
+CONFIDENCES = ("span-exact", "exact", "anchored", "head-only", "tail-only", "backtrack", "fuzzy")  # fixed: names in manifests
 _QUOTES = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "«": '"', "»": '"', "–": "-", "—": "-", "‒": "-", "―": "-", "−": "-"}
 
 
@@ -41,44 +44,65 @@ def normal_with_map(text: str) -> tuple[str, list[int]]:
     return "".join(out), where
 
 
-SPANS = 100_000  # spans that one automaton holds; beyond it a join compares each with each document
+SLICE_BYTES = 32 << 20  # of spans that one automaton holds
+
+
+def _slices(spans: DataFrame, column: str):
+    """Rows of spans as dicts in slices of about SLICE_BYTES of a column, so that neither the driver nor a worker ever
+    holds more than one slice."""
+    size = F.sum(F.length(F.col(column).cast("binary")) + 64).over(Window.orderBy("__row").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = spans.withColumn("__row", F.monotonically_increasing_id())
+    total = spans.agg(F.sum(F.length(F.col(column).cast("binary")) + 64)).first()[0] or 0
+    if total <= SLICE_BYTES:
+        yield [r.asDict() for r in spans.collect()]
+        return
+    dealt = numbered.withColumn("__slice", F.floor(size / SLICE_BYTES)).drop("__row").persist()
+    try:
+        for k in range(total // SLICE_BYTES + 1):
+            yield [r.asDict() for r in dealt.where(F.col("__slice") == k).drop("__slice").collect()]
+    finally:
+        dealt.unpersist()
 
 
 def span_matches(spans: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, item_id, s, e): the first place of every span (item_id, text) in every document (doc_id, text), both
-    normalised. Spans are a stated query set: up to SPANS of them go into one automaton, and each document is read once,
-    whatever their number. Blank spans match nothing."""
+    normalised. Spans are a stated query set: they go into automata of SLICE_BYTES each, by which each document is read
+    once a slice. Blank spans match nothing."""
     held = spans.select("item_id", normal_text(F.col("text")).alias("needle")).where("needle <> ''")
     rows = docs.select("doc_id", normal_text(F.col("text")).alias("shadow"))
-    few = held.limit(SPANS + 1).collect()
-    if len(few) > SPANS:
-        found = rows.join(held, F.expr("contains(shadow, needle)"))
-        place = F.expr("locate(needle, shadow)") - 1
-        return found.select("doc_id", "item_id", place.cast("long").alias("s"), (place + F.length("needle")).cast("long").alias("e"))
-    needles: dict[str, list[int]] = {}
-    for r in few:
-        needles.setdefault(r.needle, []).append(r.item_id)
-    shared = docs.sparkSession.sparkContext.broadcast(needles)
-
-    def run(batches):
-        import ahocorasick
-
-        tree = ahocorasick.Automaton()
-        for needle, items in shared.value.items():
-            tree.add_word(needle, (len(needle), items))
-        tree.make_automaton()
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("shadow").to_pylist(), strict=True):
-                seen: set[int] = set()
-                for end, (n, items) in tree.iter(text or "") if shared.value else ():
-                    for item in items:
-                        if item not in seen:
-                            seen.add(item)
-                            out.append((doc, item, end + 1 - n, end + 1))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["doc_id", "item_id", "s", "e"])
-
-    return rows.mapInArrow(run, "doc_id long, item_id long, s long, e long")
+    schema = "doc_id long, item_id long, s long, e long"
+
+    def found(few: list[dict]) -> DataFrame:
+        needles: dict[str, list[int]] = {}
+        for r in few:
+            needles.setdefault(r["needle"], []).append(r["item_id"])
+        shared = docs.sparkSession.sparkContext.broadcast(needles)
+
+        def run(batches):
+            import ahocorasick
+
+            tree = ahocorasick.Automaton()
+            for needle, items in shared.value.items():
+                tree.add_word(needle, (len(needle), items))
+            tree.make_automaton()
+            for batch in batches:
+                out: list[tuple] = []
+                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("shadow").to_pylist(), strict=True):
+                    seen: set[int] = set()
+                    for end, (n, items) in tree.iter(text or "") if shared.value else ():
+                        for item in items:
+                            if item not in seen:
+                                seen.add(item)
+                                out.append((doc, item, end + 1 - n, end + 1))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["doc_id", "item_id", "s", "e"])
+
+        return rows.mapInArrow(run, schema)
+
+    parts = [found(few) for few in _slices(held, "needle")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 _ESCAPE = re.compile(r"\\([\\`*_{}\[\]()#+\-.!?«»])")
@@ -127,36 +151,56 @@ def verbatim_types(items: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, type string")
 
 
-def anchored_matches(beats: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """beats (key, pos, text) with s, e and confidence in their own document (key, text): exact where short; else by the
-    head and, within a window behind it, the tail; else null. A document's beats are sought in one row, as each of them
-    would else carry the whole document along."""
-    needles = beats.select(key, F.struct("pos", normal_text(F.col("text")).alias("needle")).alias("beat"))
-    shadows = docs.select(key, normal_text(F.col("text")).alias("shadow"))
-    held = needles.groupBy(key).agg(F.collect_list("beat").alias("beats")).join(shadows, key)
+def verbatim_items(items: DataFrame) -> DataFrame:
+    """items (chunk, type, speaker, text, ...) checked against the script's part that they were made from: a dialogue line
+    that isn't there word for word is staging of nobody, blank items go, white space is collapsed. was keeps the type
+    before."""
 
-    def place(needle: str, shadow: str) -> tuple[int | None, int | None, str]:
-        n = len(needle)
-        if n <= SHORT:
-            x = shadow.find(needle) if n else -1
-            return (x, x + n, "exact") if x >= 0 else (None, None, "none")
-        h = shadow.find(needle[:HEAD])
-        t = shadow.find(needle[-TAIL:], h + HEAD, h + HEAD + max(2 * n + 300, 1000)) if h >= 0 else -1
-        return (h, t + TAIL, "anchored") if t >= 0 else (None, None, "none")
+    def run(batches):
+        for batch in batches:
+            keep, kinds, people, texts = [], [], [], []
+            columns = (batch.column(c).to_pylist() for c in ("chunk", "type", "speaker", "text"))
+            for i, (chunk, kind, who, text) in enumerate(zip(*columns, strict=True)):
+                text = " ".join((text or "").split())
+                if not text:
+                    continue
+                false = kind == "dialogue" and text.lower() not in verbatim_form(chunk or "")
+                keep.append(i), kinds.append("staging" if false else kind), texts.append(text)
+                people.append("" if false else " ".join((who or "").split()))
+            out = batch.take(pa.array(keep, pa.int64()))
+            made = {"type": kinds, "speaker": people, "text": texts}
+            cols = [pa.array(made[n], pa.string()) if n in made else out.column(n) for n in out.schema.names]
+            yield pa.RecordBatch.from_arrays([*cols, out.column("type")], [*out.schema.names, "was"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
+    return items.mapInArrow(run, f"{schema}, was string")
+
+
+def anchored_matches(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, pos, s, e, confidence) for the beats of each document (key, text, beats: array of pos and text) in its own
+    text: exact where short; else by the head and, within a window behind it, the tail; else none.
+
+    A document and its beats share a row, so each text is normalised once and nothing is joined. Null texts and blank
+    beats match nothing."""
+    forms = F.transform("beats", lambda b: F.struct(b["pos"].alias("pos"), normal_text(b["text"]).alias("needle")))
+    rows = docs.select(F.col(key).cast("long").alias(key), forms.alias("beats"), normal_text(F.col("text")).alias("shadow"))
 
     def run(batches):
         for batch in batches:
-            keys, lists, shadows = (batch.column(c).to_pylist() for c in (key, "beats", "shadow"))
-            rows = [(k, b["pos"], *place(b["needle"] or "", shadow or "")) for k, found, shadow in zip(keys, lists, shadows, strict=True) for b in found]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], [key, "pos", "s", "e", "confidence"])
+            out = []
+            for k, found, shadow in zip(*(batch.column(c).to_pylist() for c in (key, "beats", "shadow")), strict=True):
+                for b in found or ():
+                    needle = b["needle"] or ""
+                    out.append((k, b["pos"], *((needle and strict(needle, shadow or "", 0, len(shadow or ""))) or (None, None, "none"))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(MATCH)], [key, "pos", "s", "e", "confidence"])
 
-    return held.select(F.col(key).cast("long").alias(key), "beats", "shadow").mapInArrow(run, f"{key} long, pos long, s long, e long, confidence string")
+    return rows.mapInArrow(run, f"{key} long, pos long, s long, e long, confidence string")
 
 
 def match_histogram(matches: DataFrame) -> DataFrame:
     """Counts by confidence, a second pass counted with the first, and all buckets there even if empty."""
     spark = matches.sparkSession
-    buckets = spark.createDataFrame([(c,) for c in ("span", "exact", "anchored", "head", "tail", "fuzzy", "none")], "confidence string")
+    buckets = spark.createDataFrame([(c,) for c in (*CONFIDENCES, "none")], "confidence string")
     counts = matches.groupBy(F.regexp_replace("confidence", r"\+pass2$", "").alias("confidence")).agg(F.count("*").alias("n"))
     return buckets.join(counts, "confidence", "left").select("confidence", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
@@ -173,100 +217,259 @@ def overlapping(segments: DataFrame, matches: DataFrame, key: str, bucket: int =
     return both.where(F.col("bucket") == first).select(key, "seg_no", "match_no", F.greatest("a", "c").alias("s"), F.least("b", "d").alias("e"))
 
 
-def _find(needle: str, shadow: str, begin: int, end: int) -> tuple[int, int, str] | None:
-    at = shadow.find(needle, begin, end)
-    return (at, at + len(needle), "exact") if at >= 0 else None
+MATCH = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+Match = tuple[int, int, str]
 
 
-def strict(needle: str, shadow: str, begin: int, end: int) -> tuple[int, int, str] | None:
-    if len(needle) <= SHORT:
-        return _find(needle, shadow, begin, end)
-    h = shadow.find(needle[:HEAD], begin, end)
-    if h < 0:
-        return None
-    t = shadow.find(needle[-TAIL:], h + HEAD, h + max(2 * len(needle) + 300, 1000))
-    return (h, t + TAIL, "anchored") if t >= 0 else None
+def _window(n: int) -> int:
+    """How far behind a head its tail may end, for a beat of n characters."""
+    return max(2 * n + 300, 1000)
 
 
-def lenient(needle: str, shadow: str, begin: int, end: int) -> tuple[int, int, str] | None:
-    """Strict; else the head alone; else the strict form from further back; else the tail alone; else the longest
-    common run, if it is long enough."""
-    n = len(needle)
-    found = strict(needle, shadow, begin, end)
-    if found:
-        return found
-    h = shadow.find(needle[:HEAD], begin, end) if n > HEAD else -1
-    if h >= 0:
-        return h, min(len(shadow), h + n), "head"
-    if found := strict(needle, shadow, max(0, begin - BACKTRACK), end):
-        return found
-    t = shadow.find(needle[-TAIL:], begin, end) if n > TAIL else -1
-    if t >= 0:
-        return max(begin, t + TAIL - n), t + TAIL, "tail"
-    return fuzzy(needle, shadow, begin, min(end, begin + max(FUZZY_WINDOW, 4 * n)))
+def _anchored(needle: str, shadow: str, h: int, label: str) -> Match | None:
+    t = shadow.find(needle[-TAIL:], h + HEAD, h + _window(len(needle)))
+    return (h, t + TAIL, label) if t >= 0 else None
+
+
+def strict(needle: str, shadow: str, begin: int, end: int) -> Match | None:
+    """What the first pass takes: a short beat whole, a longer one by its head, which lies in [begin, end), and tail."""
+    short = len(needle) <= SHORT
+    at = shadow.find(needle if short else needle[:HEAD], begin, end)
+    if at < 0:
+        return None
+    return (at, at + len(needle), "exact") if short else _anchored(needle, shadow, at, "anchored")
 
 
-def fuzzy(needle: str, shadow: str, begin: int, end: int) -> tuple[int, int, str] | None:
-    part = shadow[begin:end]
-    m = difflib.SequenceMatcher(None, part, needle, autojunk=False).find_longest_match(0, len(part), 0, len(needle))
-    if m.size < max(FUZZY_LEAST, FUZZY_SHARE * len(needle)):
+def rungs(needle: str, shadow: str, cursor: int) -> Match | None:
+    """The ladder from cursor on but for its last rung. Only what was seen is claimed: after the strict forms the head
+    alone, a head before the cursor (with its tail if that is there), the tail alone."""
+    if found := strict(needle, shadow, cursor, len(shadow)):
+        return found
+    low, short = max(0, cursor - BACKTRACK), len(needle) <= SHORT
+    if not short and (h := shadow.find(needle[:HEAD], cursor)) >= 0:
+        return h, h + HEAD, "head-only"
+    part = needle if short else needle[:HEAD]
+    if (h := shadow.rfind(part, low, cursor)) >= 0:
+        return (None if short else _anchored(needle, shadow, h, "backtrack")) or (h, h + len(part), "backtrack")
+    if not short and (t := shadow.find(needle[-TAIL:], cursor)) >= 0:
+        return t, t + TAIL, "tail-only"
+    return None
+
+
+def lenient(needle: str, shadow: str, cursor: int) -> Match | None:
+    """The whole ladder: its rungs, then the longest common run within a window from cursor on."""
+    return rungs(needle, shadow, cursor) or fuzzy(needle, shadow, cursor, cursor + max(FUZZY_WINDOW, 4 * len(needle)))
+
+
+class Runs:
+    """Where a text's runs of FUZZY_LEAST characters stand, by their hashes: whether a part of the text can have a
+    common run with a beat at all is a lookup, however long the part."""
+
+    def __init__(self, shadow: str):
+        held = self._hashes(shadow)
+        self.order = np.argsort(held, kind="stable")
+        self.held = held[self.order]
+
+    @staticmethod
+    def _hashes(text: str) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+        out = np.zeros(max(0, len(codes) - FUZZY_LEAST + 1), np.uint64)
+        for j in range(FUZZY_LEAST if len(out) else 0):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + len(out)]
+        return out
+
+    def meets(self, needle: str, begin: int, end: int) -> bool:
+        sought = self._hashes(needle)
+        for a, b in zip(np.searchsorted(self.held, sought, "left"), np.searchsorted(self.held, sought, "right"), strict=True):
+            if a < b:
+                k = np.searchsorted(self.order[a:b], begin)
+                if k < b - a and self.order[a + k] <= end - FUZZY_LEAST:
+                    return True
+        return False
+
+
+def fuzzy(needle: str, shadow: str, begin: int, end: int, runs: Runs | None = None) -> Match | None:
+    """The longest run that needle and shadow[begin:end] have in common, if it is long enough: the first of equally long
+    ones in needle, then in shadow."""
+    least = max(FUZZY_LEAST, int(FUZZY_SHARE * len(needle)))
+    end = min(end, len(shadow))
+    if len(needle) < least or end - begin < least or runs is not None and not runs.meets(needle, begin, end):
         return None
-    at = begin + m.a - m.b
-    return max(begin, at), min(end, at + len(needle)), "fuzzy"
+    size, at = least - 1, -1
+    for a in range(len(needle) - least + 1):
+        # only a longer run than the best one counts; where one is there, it may go on there or further on
+        x = begin
+        while a + size < len(needle) and (x := shadow.find(needle[a : a + size + 1], x, end)) >= 0:
+            size, at = size + 1, x
+    return (at, at + size, "fuzzy") if at >= 0 else None
 
 
-def align_chapter(beats: list[tuple[str, str | None]], shadow: str) -> list[tuple[int, int, str] | None]:
+def align_chapter(beats: list[tuple[str, str | None]], shadow: str) -> list[Match | None]:
     """Places of beats (text, span) in a chapter's normal form. The first pass goes forward only, each search from the
-    end of the last match within bounds; up to three more passes look between the neighbours of what is missing."""
-    needles = [(normal_with_map(t)[0].strip(), normal_with_map(s)[0].strip() if s else "") for t, s in beats]
-    out: list[tuple[int, int, str] | None] = [None] * len(beats)
+    end of the last match within bounds; up to three more rounds look between the neighbours of what is missing, each
+    of which passes the beats once."""
+    needles = [tuple(normal_with_map(x or "")[0].strip() for x in b) for b in beats]
+    out: list[Match | None] = [None] * len(beats)
     cursor = 0
     for i, (text, span) in enumerate(needles):
-        found = _find(span, shadow, cursor, cursor + FORWARD) if span else None
-        found = (*found[:2], "span") if found else strict(text, shadow, cursor, cursor + FORWARD) if text else None
+        at = shadow.find(span, cursor, cursor + FORWARD) if span else -1
+        found = (at, at + len(span), "span-exact") if at >= 0 else strict(text, shadow, cursor, cursor + FORWARD) if text else None
         if found:
             out[i], cursor = found, found[1]
+    runs = None
     for _ in range(ROUNDS):
-        new = False
+        # where the next match of each beat begins; matches of this round lie before the beats still to come
+        after = list(itertools.accumulate((m[0] if m else -1 for m in reversed(out[1:])), lambda now, x: x if x >= 0 else now, initial=len(shadow)))[::-1]
+        before, new = 0, False
         for i, (text, span) in enumerate(needles):
-            if out[i] is not None or not (text or span):
+            if out[i]:
+                before = out[i][1]
                 continue
-            before = next((out[j][1] for j in range(i - 1, -1, -1) if out[j]), 0)
-            after = next((out[j][0] for j in range(i + 1, len(out)) if out[j]), len(shadow))
-            begin = max(0, before - SLACK)
-            found = _find(span, shadow, begin, after) if span else None
-            found = (*found[:2], "span") if found else (lenient(text, shadow, begin, after) or fuzzy(text, shadow, begin, after)) if text else None
+            begin, end = max(0, before - SLACK), after[i]
+            if end <= begin or not (text or span):
+                continue
+            runs = runs or Runs(shadow)
+            at = shadow.find(span, begin, end) if span else -1
+            found = (at, at + len(span), "span-exact") if at >= 0 else _between(text, shadow, begin, end, runs) if text else None
             if found:
-                out[i], new = (found[0], found[1], f"{found[2]}+pass2"), True
+                out[i], before, new = (found[0], found[1], f"{found[2]}+pass2"), found[1], True
         if not new:
             break
     return out
 
 
-def aligned(beats: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, pos, s, e, confidence) for beats (key, pos, text, source_span) of each chapter (key, text): the whole ladder,
-    chapter by chapter. Unmatched beats have a confidence of none."""
-    held = beats.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "text", "source_span"))).alias("beats")).join(docs.select(key, "text"), key)
+def _between(text: str, shadow: str, begin: int, end: int, runs: Runs) -> Match | None:
+    """The ladder, then any common run, within [begin, end) alone."""
+    if found := rungs(text, shadow[begin:end], 0):
+        return begin + found[0], begin + found[1], found[2]
+    # what is in the ladder's window counts before longer runs beyond it
+    near = min(end, begin + max(FUZZY_WINDOW, 4 * len(text)))
+    return fuzzy(text, shadow, begin, near, runs) or fuzzy(text, shadow, begin, end, runs)
+
+
+def aligned(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, pos, s, e, confidence) for the beats of each chapter (key, text, beats: array of pos, text and source_span,
+    in their order): the whole ladder, chapter by chapter, each of which has to fit into a row. Unmatched beats have a
+    confidence of none."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for k, items, text in zip(batch.column(key).to_pylist(), batch.column("beats").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = align_chapter([(b["text"] or "", b["source_span"]) for b in items], normal_with_map(text or "")[0])
-                rows += [(k, b["pos"], *(m or (None, None, "none"))) for b, m in zip(items, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], [key, "pos", "s", "e", "confidence"])
-
-    return held.select(key, "beats", "text").mapInArrow(run, f"{key} long, pos long, s long, e long, confidence string")
-
-
-def wrapped(raw: str, slices: list[tuple[int, int, str]]) -> str:
-    """raw with every slice (start, end, name) in an element of that id. Slices are taken in order, and one that overlaps
-    the one before begins at its end."""
-    out, at = [], 0
-    for s, e, name in sorted(slices):
-        s = max(s, at)
-        if e <= s:
+            for k, items, text in zip(*(batch.column(c).to_pylist() for c in (key, "beats", "text")), strict=True):
+                found = align_chapter([(b["text"] or "", b["source_span"]) for b in items or ()], normal_with_map(text or "")[0])
+                rows = [(k, b["pos"], *(m or (None, None, "none"))) for b, m in zip(items or (), found, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(MATCH)], [key, "pos", "s", "e", "confidence"])
+
+    rows = docs.select(F.col(key).cast("long").alias(key), "beats", "text")
+    return rows.mapInArrow(run, f"{key} long, pos long, s long, e long, confidence string")
+
+
+class _Source(HTMLParser):
+    """Text nodes with the place in the source of each of their characters. Scripts, styles and heads have none."""
+
+    def __init__(self, page: str):
+        super().__init__(convert_charrefs=False)
+        self.page, self.silent = page, []
+        self.lines = [0, *(m.end() for m in re.finditer("\n", page))]
+        self.nodes: list[tuple[list[str], list[int]]] = []  # characters, and where each begins; then where the last ends
+        self.joined = False
+        self.feed(page)
+        self.close()
+
+    def _here(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def _add(self, chars: str, places: list[int], end: int):
+        if self.silent:
+            return
+        if not self.joined:
+            self.nodes.append(([], [0]))
+        node = self.nodes[-1]
+        node[0].extend(chars)
+        node[1][-1:] = [*places, end]
+        self.joined = True
+
+    def handle_data(self, data):
+        at = self._here()
+        self._add(data, list(range(at, at + len(data))), at + len(data))
+
+    def _reference(self, raw: str):
+        at = self._here()
+        end = at + len(raw) + self.page.startswith(";", at + len(raw))
+        chars = html.unescape(self.page[at:end])
+        self._add(chars, [at] * len(chars), end)
+
+    def handle_charref(self, name):
+        self._reference(f"&#{name}")
+
+    def handle_entityref(self, name):
+        self._reference(f"&{name}")
+
+    def handle_starttag(self, tag, attrs):
+        self.joined = False
+        if tag in ("script", "style", "head", "title"):
+            self.silent.append(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        self.joined = False
+
+    def handle_endtag(self, tag):
+        self.joined = False
+        if tag in self.silent:
+            del self.silent[self.silent.index(tag) :]
+
+    def handle_comment(self, data):
+        self.joined = False
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
+
+
+def wrapped(page: str, matches: list[tuple[int, int, str]], css: str = "beat") -> str:
+    """page with every match (start, end, name), places in its normal form, in elements of that id, one for each text node
+    that it touches; all other characters of the page stay. Matches are taken in order, and one that overlaps the one
+    before begins at its end."""
+    marks: list[tuple[int, int, str]] = []
+    todo = sorted(m for m in matches if m[0] is not None and m[1] > m[0])
+    at = k = done = 0
+    for chars, places in _Source(page).nodes:
+        text = "".join(chars)
+        if not text.strip():
+            continue
+        norm, origin = normal_with_map(text)
+        size = len(norm)
+        for j in range(k, len(todo)):
+            s, e, name = todo[j]
+            if s >= at + size:
+                break
+            s, e = max(s, at, done), min(e, at + size)
+            if s < e:
+                first, last = origin[s - at], origin[e - at - 1]
+                marks.append((places[first], places[last + 1], name))
+                done = e
+        at += size + (not norm.endswith(" "))
+        while k < len(todo) and todo[k][1] <= at:
+            k += 1
+    out, here = [], 0
+    for s, e, name in marks:
+        if s < here:  # within a reference that stands for several characters
             continue
-        out += [raw[at:s], f'<span class="beat" id="{name}">', raw[s:e], "</span>"]
-        at = e
-    return "".join([*out, raw[at:]])
+        out += [page[here:s], f'<span class="{css}" data-beat-id="{html.escape(name, quote=True)}">', page[s:e], "</span>"]
+        here = e
+    return "".join([*out, page[here:]])
+
+
+def wrapped_pages(pages: DataFrame, matches: DataFrame) -> DataFrame:
+    """(page_id, html, n_beats) of pages (page_id, html) with their matches (page_id, beat_id, s, e) wrapped, one Arrow
+    pass over whole pages. Pages without matches stay as they are; null html stays null."""
+    held = matches.where("s is not null").groupBy("page_id").agg(F.collect_list(F.struct("s", "e", "beat_id")).alias("found"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for page, found in zip(batch.column("html").to_pylist(), batch.column("found").to_pylist(), strict=True):
+                out.append(page if page is None or not found else wrapped(page, [(m["s"], m["e"], m["beat_id"]) for m in found]))
+            n = [len(f or ()) for f in batch.column("found").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(out, pa.string()), pa.array(n, pa.int64())], ["page_id", "html", "n_beats"])
+
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").join(held, "page_id", "left")
+    return rows.mapInArrow(run, "page_id long, html string, n_beats long")

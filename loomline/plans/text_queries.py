@@ -51,8 +51,8 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return beats.select("conv_id", F.floor(F.col("pos") / 10000).alias("turn"), (F.col("pos") % 10000).alias("sentence_no"), "text")
 
 
-PACKED = r"""
-    WITH RECURSIVE lines AS (
+PACKED_CTES = r"""
+    lines AS (
         SELECT doc_id, generate_subscripts(ps, 1) - 1 AS p, regexp_replace(unnest(ps), '^\s+|\s+$', '', 'g') AS t
         FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g') <> '') AS ps FROM documents)),
     cut AS (
@@ -65,7 +65,9 @@ PACKED = r"""
         FROM walk WHERE i < len(ss)),
     pieces AS (
         SELECT doc_id, p, piece, string_agg(ss[i], ' ' ORDER BY i) AS t FROM walk GROUP BY doc_id, p, piece
-        UNION ALL SELECT doc_id, p, 1, t FROM lines WHERE length(t) <= 375)
+        UNION ALL SELECT doc_id, p, 1, t FROM lines WHERE length(t) <= 375)"""
+PACKED = f"""
+    WITH RECURSIVE {PACKED_CTES}
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p, piece) - 1 AS BIGINT) AS beat_no, CAST(p AS BIGINT) AS source_paragraph, t AS text FROM pieces"""
 
 
@@ -99,11 +101,11 @@ def chapter_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-    WITH bounds(bound_no, first, last) AS (VALUES (1, 0, 2), (2, 2, 4), (3, 6, 99)),
+    WITH bounds(bound_no, first, last) AS (VALUES (1, 0, 2), (2, 2, 4), (3, 6, NULL)),
     parts AS (SELECT doc_id, generate_subscripts(ps, 1) AS p, unnest(ps) AS t
         FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g') <> '') AS ps FROM documents)),
     ns AS (SELECT doc_id, max(p) AS n FROM parts GROUP BY doc_id),
-    cl AS (SELECT doc_id, bound_no, greatest(1, least(n, first)) AS a, greatest(1, least(n, last)) AS b FROM ns, bounds)
+    cl AS (SELECT doc_id, bound_no, greatest(1, least(n, first)) AS a, greatest(1, least(n, coalesce(last, n))) AS b FROM ns, bounds)
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY bound_no) AS BIGINT) AS scene_no, CAST(sum(length(t)) + 2 * (count(*) - 1) AS BIGINT) AS chars
     FROM cl JOIN parts USING (doc_id) WHERE p BETWEEN a AND b GROUP BY doc_id, bound_no""")
 def scene_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,23 +117,36 @@ def scene_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("scene_no").cast("long").alias("scene_no"), F.length("text").cast("long").alias("chars"))
 
 
-LINES = [
-    "# The Little Play", "A comedy in one act.", "**Characters**", "ANNA (a baker)", "BERT", "# Scene 1: The shop", "ANNA: Good morning.", "**2. The street**",
-    "BERT: Is it you? I had a good role in it.", "3 – Finale", "ANNA: It is.",
-]
+# The corpus has no scripts, so lines of documents become headers of every shape by their numbers.
+SCRIPT_LINES = r"""
+    SELECT doc_id, k AS line_no, CASE WHEN k % 11 = 3 THEN '# ' || k || '. ' || line WHEN k % 11 = 5 THEN 'Scène ' || k WHEN k % 11 = 7 THEN '**' || k || '**' WHEN k % 11 = 9 THEN k || ' – ' || line WHEN k = 1 THEN '**Personnages**'
+        WHEN k % 13 = 4 THEN 'The cast went home, and so did the characters.' WHEN k % 13 = 6 THEN 'Act without a number' ELSE line END AS line
+    FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k, unnest(string_split(text, chr(10))) AS line FROM documents)"""
 
 
-@query(r"""
-    WITH l(line_no, line) AS (VALUES (0, '# The Little Play'), (1, 'A comedy in one act.'), (2, '**Characters**'), (3, 'ANNA (a baker)'), (4, 'BERT'), (5, '# Scene 1: The shop'),
-        (6, 'ANNA: Good morning.'), (7, '**2. The street**'), (8, 'BERT: Is it you? I had a good role in it.'), (9, '3 – Finale'), (10, 'ANNA: It is.')),
-    m AS (SELECT *, CASE WHEN line = '**Characters**' THEN 'roster' WHEN regexp_matches(line, '^#+\s.*\d') OR regexp_matches(line, '^\*\*\s*\d+[^*]*\*\*\s*$') OR regexp_matches(line, '^\s*\d+\s*[–—-]\s*\S') THEN 'scene' END AS opens FROM l),
-    s AS (SELECT *, sum(CASE WHEN opens IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY line_no) AS section_no, coalesce(last_value(opens IGNORE NULLS) OVER (ORDER BY line_no), 'preamble') AS kind FROM m)
-    SELECT CAST(line_no AS BIGINT) AS line_no, line, CAST(section_no AS BIGINT) AS section_no, kind FROM s WHERE opens IS NULL""")
+def script_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    k, line = F.col("k"), F.col("line")
+    number = k.cast("string")
+    shaped = (
+        F.when(k % 11 == 3, F.concat(F.lit("# "), number, F.lit(". "), line)).when(k % 11 == 5, F.concat(F.lit("Scène "), number)).when(k % 11 == 7, F.concat(F.lit("**"), number, F.lit("**")))
+        .when(k % 11 == 9, F.concat(number, F.lit(" – "), line)).when(k == 1, "**Personnages**").when(k % 13 == 4, "The cast went home, and so did the characters.").when(k % 13 == 6, "Act without a number").otherwise(line)
+    )
+    return lines.select("doc_id", k.cast("long").alias("line_no"), shaped.alias("line"))
+
+
+@query(rf"""
+    WITH l AS ({SCRIPT_LINES}),
+    x AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS raw FROM l),
+    m AS (SELECT doc_id, line_no, line, CASE WHEN line = '**Personnages**' THEN 'roster'
+        WHEN regexp_matches(raw, '^#{{1,6}}\s*\d+\s*[.\\)]?\s*\S') OR regexp_matches(raw, '(?i)^\s*\**\s*(s[ée]quence|sc[èe]ne|acte?|p[ée]riode|tableau|partie)\s+[\divxlc]+')
+          OR regexp_matches(raw, '^\*\*\s*\d+\s*\\?\.?\s*\*\*\s*$') OR regexp_matches(raw, '^\*{{0,2}}\s*\d+\s*[–—-]\s+\S') THEN 'scene' END AS opens FROM x),
+    s AS (SELECT *, sum(CASE WHEN opens IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS section_no, coalesce(last_value(opens IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no), 'preamble') AS kind FROM m)
+    SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, line, CAST(section_no AS BIGINT) AS section_no, kind FROM s WHERE opens IS NULL""")
 def script_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A script of a few lines, as the corpus has no scripts."""
-    lines = spark.createDataFrame([(0, i, x) for i, x in enumerate(LINES)], "script int, line_no int, line string")
-    out = segments.script_sections(lines, "script")
-    return out.select(F.col("line_no").cast("long").alias("line_no"), "line", F.col("section_no").cast("long").alias("section_no"), "kind")
+    """Every document as a script with headers of all shapes, and lines that only look like them."""
+    out = segments.script_sections(script_lines(spark, sf_dir), "doc_id")
+    return out.select("doc_id", "line_no", "line", F.col("section_no").cast("long").alias("section_no"), "kind")
 
 
 ITEMS = rf"""
@@ -222,7 +237,7 @@ def content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
     SELECT conv_id, turn, '(' || regexp_replace(lower(regexp_replace(role || ' voice , warm', '^\s+|\s+$', '', 'g')), '\s*,\s*', ' - ', 'g') || ') "' || text || '"' AS prompt,
-           coalesce(nullif(trim(regexp_replace(regexp_replace('(aside) ' || left(text, 40) || ' (exit)', '\([^()]*\)', ' ', 'g'), '\s+', ' ', 'g')), ''), text) AS spoken
+           coalesce(nullif(trim(regexp_replace(regexp_replace('(aside) ' || text || ' (exit)', '\([^()]*\)', ' ', 'g'), '\s+', ' ', 'g')), ''), text) AS spoken
     FROM conversations""")
 def prompt_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
@@ -231,7 +246,7 @@ def prompt_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-    SELECT doc_id, coalesce(nullif(regexp_replace(left(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80), '-+$', ''), ''), 'untitled') AS slug FROM documents""")
+    SELECT doc_id, coalesce(nullif(left(regexp_replace(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^\pL\pN_\s-]', '', 'g'), '[\s_-]+', '-', 'g'), '^-+|-+$', '', 'g'), 80), ''), 'untitled') AS slug FROM documents""")
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.split_part("text", F.lit("\n"), F.lit(1))
     return table(spark, sf_dir, "documents").select("doc_id", slug(first).alias("slug"))
@@ -259,9 +274,14 @@ def label_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.groupBy("stem").agg(F.max_by("label", F.struct("n", F.length("label"), -F.col("first"))).alias("label"), F.sum("n").alias("uses"))
 
 
-@query("""
-    SELECT d.doc_id, CAST(b.item_id AS BIGINT) AS item_id, CASE WHEN contains(lower(d.text), lower(b.text)) THEN 'dialogue' ELSE 'staging' END AS type
-    FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40 WHERE trim(b.text) <> ''""")
+@query(r"""
+    WITH p AS (SELECT doc_id, replace(regexp_replace(text, '\\([\\`*_{}\[\]()#+\-.!?«»])', '\1', 'g'), '**', '') AS t FROM documents),
+    a AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([\pL\pN_])\*([\pL\pN_])', '\1' || chr(2) || '\2', 'g'), '([\pL\pN_])\*([\pL\pN_])', '\1' || chr(2) || '\2', 'g') AS t FROM p),
+    b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([ \t\f])\*([ \t\f])', '\1' || chr(2) || '\2', 'g'), '([ \t\f])\*([ \t\f])', '\1' || chr(2) || '\2', 'g') AS t FROM a),
+    d AS (SELECT doc_id, lower(trim(regexp_replace(replace(replace(t, '*', ''), chr(2), '*'), '\s+', ' ', 'g'))) AS t FROM b),
+    i AS (SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM benchmark)
+    SELECT d.doc_id, CAST(i.item_id AS BIGINT) AS item_id, CASE WHEN contains(d.t, i.t) THEN 'dialogue' ELSE 'staging' END AS type FROM d, i WHERE i.t <> ''""")
 def verbatim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A passage stays dialogue only if its source has it word for word: every passage against every document."""
+    """A passage stays dialogue only if its source has it word for word: every passage against every document. A lone
+    asterisk of a source stays between two letters or between two spaces."""
     return alignment.verbatim_types(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
