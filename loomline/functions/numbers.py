@@ -42,3 +42,31 @@ def retry_budget(tokens: Column, retries: int, most: int = 32768) -> Column:
     for _ in range(retries):
         tokens = F.least(F.floor(tokens * 3 / 2), F.lit(most)).cast("long")
     return tokens
+
+
+def temperature(hot_retries: int, base: float = 0.2) -> float:
+    """Of a provider's call after so many answers that were no good (answers cut for length don't count)."""
+    return min(1.0, base + 0.4 * hot_retries)
+
+
+def estimated_seconds(seconds: Column, factor: float = 1.0) -> Column:
+    """An estimate times a factor, to a tenth of a second, and three seconds at least."""
+    return F.greatest(F.lit(3.0), F.bround(seconds * factor, 1))
+
+
+# How many tokens each kind of call may take: at least, at most (0: no bound), for each unit, and besides.
+BUDGETS = {
+    "boundaries": (1024, 8192, 80, 512),  # a unit is a paragraph
+    "beats": (4096, 32000, 2, 1024),  # a character of the scene
+    "profiles": (4096, 0, 400, 1024),  # a character of the cast
+    "normalise": (2048, 0, 0.5, 1024),  # a character of the batch
+    "structure": (4096, 0, 1.2, 0),  # a character of the chunk
+    "roster": (4096, 0, 200, 1024),  # a speaker
+}
+
+
+def stage_budget(kind: str, units: Column) -> Column:
+    """Tokens that a call of a kind may take for so many units."""
+    least, most, each, besides = BUDGETS[kind]
+    wanted = F.greatest(F.lit(least), (F.floor(units * F.lit(float(each))) + besides).cast("long"))
+    return (F.least(F.lit(most), wanted) if most else wanted).cast("long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,9 +41,9 @@ def content_key(*parts: Column) -> Column:
 
 
 def slug(x: Column, most: int = 80, fallback: str = "untitled") -> Column:
-    """Lower-case words joined by hyphens, at most so many characters."""
-    words = F.regexp_replace(F.regexp_replace(F.lower(x), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
-    return F.coalesce(F.nullif(F.regexp_replace(F.left(words, F.lit(most)), r"-+$", ""), F.lit("")), F.lit(fallback))
+    """Lower-case words joined by hyphens, at most so many characters: marks go, white space and underscores are hyphens."""
+    words = F.regexp_replace(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}_\s-]", ""), r"[\s_-]+", "-")
+    return F.coalesce(F.nullif(F.left(F.regexp_replace(words, r"^-+|-+$", ""), F.lit(most)), F.lit("")), F.lit(fallback))
 
 
 def prompt(direction: Column, text: Column) -> Column:
@@ -57,9 +59,10 @@ def spoken_text(x: Column) -> Column:
 
 
 def clean_markdown(x: Column) -> Column:
-    """Backslash escapes resolved, bold and emphasis marks gone, stripped."""
-    plain = F.regexp_replace(x, r"\\([\\`*_{}\[\]()#+.!-])", "$1")
-    return strip(F.regexp_replace(F.regexp_replace(plain, r"\*\*", ""), r"(?<!\*)\*(?!\*)", ""))
+    """Backslash escapes resolved, bold and emphasis marks gone, stripped. A lone asterisk between white space or inside
+    a word stays."""
+    plain = F.regexp_replace(F.regexp_replace(x, r"\\([\\`*_{}\[\]()#+\-.!?«»])", "$1"), r"\*\*", "")
+    return strip(F.regexp_replace(plain, r"(?<!\w)\*(?!\s)|(?<!\s)\*(?!\w)", ""))
 
 
 def label_stem(x: Column) -> Column:
@@ -73,3 +76,45 @@ def accent_code(x: Column, codes: dict[str, str]) -> Column:
     first = F.lower(strip(F.split_part(x, F.lit("|"), F.lit(1))))
     known = F.create_map(*[F.lit(v) for pair in codes.items() for v in pair])
     return F.when(F.coalesce(first, F.lit("")) == "", "any").otherwise(F.coalesce(F.try_element_at(known, first), F.lit("other")))
+
+
+def generic_alias(x: Column) -> Column:
+    """Whether an alias is a mere descriptor: a name or epithet has an upper-case letter."""
+    return ~x.rlike(r"\p{Lu}")
+
+
+def safe_filename(x: Column) -> Column:
+    """A title as a file name: slashes of both kinds become underscores."""
+    return F.translate(x, "/\\", "__")
+
+
+def variant_tag(encoder: Column, cap: Column, decoder: Column, plain: str = "bnb4") -> Column:
+    """What of a render's recipe differs from the first one, as a suffix of its key; empty if nothing does."""
+    parts = F.concat_ws("+", F.when(encoder != plain, F.concat(F.lit("enc-"), encoder)), F.concat(F.lit("cap"), F.regexp_replace(cap.cast("string"), r"\.0$", "")), F.concat(F.lit("dec-"), F.nullif(decoder, F.lit(""))))
+    return F.when(parts == "", "").otherwise(F.concat(F.lit("+"), parts))
+
+
+# The forms of a prompt that can be tried on a voice.
+PROMPT_FORMS = {
+    "comma": '{0}, "{1}"', "brackets": '[{0}] "{1}"', "brackets+NL": '[{0}]\n"{1}"', "period": '{0}. "{1}"',
+    "colon": '{0}: "{1}"', "dash": '{0} — "{1}"', "line only": '"{1}"',
+}
+
+
+def prompt_forms(descriptor: Column, line: Column) -> Column:
+    """An array of (label, prompt): a line in each of the forms."""
+    def filled(form: str) -> Column:
+        parts = [descriptor if p == "0" else line if p == "1" else F.lit(p) for p in re.split(r"\{([01])\}", form) if p]
+        return F.concat(*parts)
+
+    return F.array(*[F.struct(F.lit(label).alias("label"), filled(form).alias("prompt")) for label, form in PROMPT_FORMS.items()])
+
+
+def speaker_script(prompt: Column) -> Column:
+    """(script, speakers) of a prompt: lines without blank ones where any begins with "Speaker N:", and the highest
+    number; else all of it as one line of speaker 1."""
+    lines = F.filter(F.transform(F.split(prompt, r"\r\n|\r|\n"), lambda x: strip(x)), lambda x: x != "")
+    numbers = F.filter(F.transform(lines, lambda x: F.nullif(F.regexp_extract(x, r"(?i)^\s*Speaker\s+(\d+)\s*:", 1), F.lit("")).cast("int")), lambda n: n.isNotNull())
+    scripted = F.size(numbers) > 0
+    script = F.when(scripted, F.array_join(lines, "\n")).otherwise(F.concat(F.lit("Speaker 1: "), collapse(prompt)))
+    return F.struct(script.alias("script"), F.when(scripted, F.array_max(numbers)).otherwise(1).cast("long").alias("speakers"))

@@ -8,6 +8,7 @@ import re
 import zipfile
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,23 +34,46 @@ def package(data: bytes) -> dict:
 PACKAGE = "title string, authors array<string>, publisher string, language string, cover string, manifest array<struct<item_id:string,href:string,media_type:string,properties:string>>, spine array<string>"
 
 
+_ITEM = pa.struct([(n, pa.string()) for n in ("item_id", "href", "media_type", "properties")])
+_PACKAGE = {"title": pa.string(), "authors": pa.list_(pa.string()), "publisher": pa.string(), "language": pa.string(), "cover": pa.string(), "manifest": pa.list_(_ITEM), "spine": pa.list_(pa.string())}
+
+
+def _epubs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path).select("path", "content")
+
+
 def epub_table(spark: SparkSession, path: str) -> DataFrame:
     """A row of metadata, manifest and spine for every EPUB under a path."""
-    read = F.udf(package, PACKAGE)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path)
-    return files.select("path", read("content").alias("p")).select("path", "p.*")
+
+    def run(batches):
+        for batch in batches:
+            found = [package(x) for x in batch.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), *(pa.array([f[n] for f in found], k) for n, k in _PACKAGE.items())], ["path", *_PACKAGE])
+
+    return _epubs(spark, path).mapInArrow(run, f"path string, {PACKAGE}")
 
 
 def epub_members(spark: SparkSession, path: str, pattern: str = r"\.x?html?$") -> DataFrame:
-    """(path, member, content) of the members of EPUBs whose names match."""
+    """(path, member, content) of the members of EPUBs whose names match, one at a time."""
 
-    def members(data: bytes) -> list[tuple[str, bytes]]:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            return [(n, z.read(n)) for n in z.namelist() if re.search(pattern, n, re.IGNORECASE)]
+    def run(batches):
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    for n in z.namelist():
+                        if re.search(pattern, n, re.IGNORECASE):
+                            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([z.read(n)], pa.binary())], ["path", "member", "content"])
 
-    read = F.udf(members, "array<struct<member:string,content:binary>>")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path)
-    return files.select("path", F.explode(read("content")).alias("m")).select("path", "m.member", "m.content")
+    return _epubs(spark, path).mapInArrow(run, "path string, member string, content binary")
+
+
+def epub_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(path, spine_idx, stem, href, html) of the text pages of every EPUB in reading order."""
+    spine = epub_table(spark, path).select("path", "manifest", F.posexplode("spine").alias("spine_idx", "item_id"))
+    items = spine.select("path", "spine_idx", "item_id", F.explode("manifest").alias("i")).where("i.item_id = item_id")
+    stem = F.regexp_replace(F.regexp_extract("i.href", r"([^/]*)$", 1), r"\.[^.]*$", "")
+    pages = epub_members(spark, path).select("path", F.col("member").alias("href"), F.col("content").cast("string").alias("html"))
+    return items.select("path", "spine_idx", stem.alias("stem"), F.col("i.href").alias("href")).join(pages, ["path", "href"]).select("path", "spine_idx", "stem", "href", "html")
 
 
 def repacked(data: bytes, changed: dict[str, bytes]) -> bytes:
@@ -80,16 +104,31 @@ def image_order(cover: DataFrame, refs: DataFrame, manifest: DataFrame) -> DataF
     return first.select(F.row_number().over(Window.orderBy("at", "href")).alias("position"), "href")
 
 
-def part_groups(pages: DataFrame) -> DataFrame:
-    """(base, chapter_no, title, parts) of pages (stem, spine_idx, title): stems that differ by a closing _N, where the
-    base is there without it or more than once, are one chapter. Chapters come in order of their first page; the title
-    is the first that isn't blank, else the base in words."""
-    base = F.regexp_replace("stem", r"_\d+$", "")
-    shared = pages.withColumn("b", base).groupBy("b").agg(F.count("*").alias("n"))
-    named = pages.withColumn("b", base).join(shared, "b").withColumn("base", F.when(F.col("n") > 1, F.col("b")).otherwise(F.col("stem")))
-    human = F.initcap(F.regexp_replace("base", r"[_-]+", " "))
-    out = named.groupBy("base").agg(F.min("spine_idx").alias("first"), F.min_by("title", F.when(F.trim("title") != "", F.col("spine_idx"))).alias("title"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("spine_idx", "stem"))), lambda p: p["stem"]), ",").alias("parts"))
-    return out.select("base", F.row_number().over(Window.orderBy("first")).alias("chapter_no"), F.coalesce("title", human).alias("title"), "parts")
+# Pages that narration leaves out, and chapters whose pages may be split in numbered parts.
+SKIPPED_STEMS = r"(?i)^(?:cover|toc|copyright|signup|(?:insert|bonus|color)\d+)"
+CHAPTER_BASE = r"(?i)^(chapter\d+|prologue|epilogue|afterword|interlude\d+|intro|preface)(?:_\d+)?$"
+
+
+def narrated(pages: DataFrame) -> DataFrame:
+    """Pages (stem, ...) without those that narration leaves out."""
+    return pages.where(~F.col("stem").rlike(SKIPPED_STEMS))
+
+
+def part_groups(pages: DataFrame, *book: str) -> DataFrame:
+    """(book, chapter_no, base, title, parts, text) of pages (book, stem, spine_idx, title, text): stems of a known base
+    with or without a closing _N are one chapter, any other stem is one by itself, in lower case. Chapters come in the
+    order of their first page; the title is the first that isn't blank, else the base in words; texts that aren't blank
+    are joined by blank lines."""
+    base = F.lower(F.coalesce(F.nullif(F.regexp_extract("stem", CHAPTER_BASE, 1), F.lit("")), F.col("stem")))
+    named = pages.withColumn("base", base)
+    if "text" not in pages.columns:
+        named = named.withColumn("text", F.lit(""))
+    human = F.initcap(F.translate("base", "_", " "))
+    parts = F.array_sort(F.collect_list(F.struct("spine_idx", "stem", "text")))
+    out = named.groupBy(*book, "base").agg(F.min("spine_idx").alias("first"), F.min_by("title", F.when(F.trim("title") != "", F.col("spine_idx"))).alias("title"), parts.alias("p"))
+    place = F.row_number().over(Window.partitionBy(*(book or (F.lit(0),))).orderBy("first"))
+    joined = F.array_join(F.filter(F.transform("p", lambda x: x["text"]), lambda t: F.trim(t) != ""), "\n\n")
+    return out.select(*book, place.alias("chapter_no"), "base", F.coalesce("title", human).alias("title"), F.array_join(F.transform("p", lambda x: x["stem"]), ",").alias("parts"), joined.alias("text"))
 
 
 def prior_volumes(volumes: DataFrame, book: str) -> DataFrame:
