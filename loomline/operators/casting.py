@@ -32,9 +32,18 @@ def rewritten_speakers(beats: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def candidates(targets: DataFrame, clips: DataFrame, most: int = 60) -> DataFrame:
     """targets (target_id, gender, age_band, accent) with their best clips (clip_id, gender, age_band, accent) by rank:
-    gender and age have to agree; those of the accent come first, then by clip_id. The rank needs a target's rows only."""
-    both = targets.alias("t").join(clips.alias("c"), ["gender", "age_band"])
-    order = Window.partitionBy("target_id").orderBy((F.col("t.accent") == F.col("c.accent")).desc_nulls_last(), "clip_id")
+    gender and age have to agree; those of the accent come first, then by clip_id.
+
+    No target needs more than the first clips of its gender, age and accent, and of its gender and age: these are ranked
+    before the join, so a target meets at most twice as many clips as it keeps."""
+    def best(*keys: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("clip_id"))
+        return clips.withColumn("__n", rank).where(F.col("__n") <= most).select(*keys, "clip_id")
+
+    own = targets.join(best("gender", "age_band", "accent"), ["gender", "age_band", "accent"]).select("target_id", "clip_id", F.lit(0).alias("far"))
+    any_ = targets.select("target_id", "gender", "age_band").join(best("gender", "age_band"), ["gender", "age_band"]).select("target_id", "clip_id", F.lit(1).alias("far"))
+    both = own.unionByName(any_).groupBy("target_id", "clip_id").agg(F.min("far").alias("far"))
+    order = Window.partitionBy("target_id").orderBy("far", "clip_id")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("target_id", "clip_id", "rank")
 
 

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from loomline.functions.strings import digit_runs, normal_name
 
-PRONOUNS = ["i", "me", "he", "him", "she", "her", "it", "they", "them", "we", "us", "you", "je", "il", "elle"]
+# Personal, possessive and reflexive pronouns, which never name anyone.
+PRONOUNS = (
+    "i me my mine myself you your yours yourself yourselves he him his himself she her hers herself it its itself "
+    "we us our ours ourselves they them their theirs themselves"
+).split()
 RATIO, SHORTEST, LENGTHS = 0.9, 4, 3  # fixed: of similar names
 
 
@@ -47,20 +51,30 @@ def exact_edges(keys: DataFrame) -> DataFrame:
     return keys.join(first, "key").where("entry_id <> b").select(F.col("entry_id").alias("a"), "b").distinct()
 
 
+PIECES = 5  # the longest piece that a name is cut into
+
+
 def fuzzy_edges(names: DataFrame) -> DataFrame:
     """(a, b) of distinct names (entry_id, norm) of four letters or more that are alike: lengths within three, equal
     digit runs, ratio of at least 0.9.
 
-    Blocked by digit runs and bands of length. Distinct names are few next to the mentions that carry them, and the
-    ratio has no narrower exact block."""
+    Names of n and at most n + 3 letters with that ratio leave at most k = (2 n + 3) / 10 letters of both unmatched. Each
+    of them spoils one of k + 1 pieces that the first name is cut into, and moves the others by one place. So one piece
+    at least stands whole in the second name, no more than k places away: pairs meet by digit runs, piece and place, and
+    the ratio is asked for those alone. Pieces have two to PIECES letters."""
     ratio = F.pandas_udf(_ratio, "double")
     rows = names.where(F.length("norm") >= SHORTEST).groupBy("norm").agg(F.min("entry_id").alias("entry_id"))
     rows = rows.select("entry_id", "norm", F.array_join(digit_runs(F.col("norm")), ",").alias("digits"), F.length("norm").alias("n"))
-    left = rows.select(F.col("entry_id").alias("a"), F.col("norm").alias("x"), "digits", F.col("n").alias("nx"))
-    # every partner is within three in length; both sides go to bands of equal width, one side to its neighbours too
-    right = rows.select(F.col("entry_id").alias("b"), F.col("norm").alias("y"), "digits", F.col("n").alias("ny"), F.explode(F.sequence(F.floor((F.col("n") - LENGTHS) / 4), F.floor((F.col("n") + LENGTHS) / 4))).alias("band"))
-    pairs = left.withColumn("band", F.floor(F.col("nx") / 4)).join(right, ["digits", "band"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("nx") - F.col("ny")) <= LENGTHS))
-    return pairs.where(ratio("x", "y") >= RATIO).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    rows = rows.withColumn("k", F.expr(f"(2 * n + {LENGTHS}) div 10"))
+    ends = F.transform(F.sequence(F.lit(0), F.col("k") + 1), lambda i: F.floor(i * F.col("n") / (F.col("k") + 1)).cast("int"))
+    cut = rows.withColumn("ends", ends).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    cut = cut.select("entry_id", "norm", "digits", "n", "k", F.get("ends", "i").alias("at"), (F.get("ends", F.col("i") + 1) - F.get("ends", "i")).alias("size"))
+    left = cut.withColumn("place", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("k")), F.col("at") + F.col("k"))))
+    left = left.select(F.col("entry_id").alias("a"), F.col("norm").alias("x"), "digits", F.col("n").alias("nx"), F.substring("norm", F.col("at") + 1, F.col("size")).alias("piece"), "place")
+    right = rows.withColumn("size", F.explode(F.sequence(F.lit(2), F.least(F.lit(PIECES), F.col("n"))))).withColumn("place", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size"))))
+    right = right.select(F.col("entry_id").alias("b"), F.col("norm").alias("y"), "digits", F.col("n").alias("ny"), F.substring("norm", F.col("place") + 1, F.col("size")).alias("piece"), "place")
+    pairs = left.join(right, ["digits", "piece", "place"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("nx") - F.col("ny")) <= LENGTHS)).select("a", "b", "x", "y").distinct()
+    return pairs.where(ratio("x", "y") >= RATIO).select(F.col("b").alias("a"), F.col("a").alias("b"))
 
 
 def _ratio(a, b):
@@ -91,27 +105,35 @@ def first_distinct(rows: DataFrame, key: str, value: str, order: str, most: int
     return first.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("first", value))).where(F.col("rank") <= most).select(key, "rank", value)
 
 
-def merged_groups(clusters, groups):
-    """Applies proposed merges, one after another, to clusters: dicts with id, keys, gender; groups: lists of names.
+def merged_groups(clusters: list[dict], groups: list, hinted: bool = False):
+    """Applies proposed merges, one after another, to clusters: dicts with id, keys, gender; groups: lists of names, or
+    dicts with names and the name that is proposed for them (canonical).
 
     Each name belongs to the first cluster that has it as a key. A group needs two clusters or more, and is refused where
-    their roots' known genders differ. Returns the root of every id. Proposals are few, so this runs on the driver."""
+    their roots' known genders differ. Returns the root of every id, and with hinted the first proposed name of each root
+    that a merge made. Proposals are few, so this runs on the driver."""
     claim, root = {}, {c["id"]: c["id"] for c in clusters}
     gender = {c["id"]: c["gender"] for c in clusters}
+    hints: dict = {}
     for c in clusters:
         for k in c["keys"]:
             claim.setdefault(k, c["id"])
 
     def find(x):
         while root[x] != x:
+            root[x] = root[root[x]]
             x = root[x]
         return x
 
-    for names in groups:
-        roots = list(dict.fromkeys(find(claim[n]) for n in (" ".join(x.lower().split()) for x in names) if n in claim))
+    for group in groups:
+        names, canonical = (group["names"], group.get("canonical", "")) if isinstance(group, dict) else (group, "")
+        roots = sorted({find(claim[n]) for n in (" ".join(x.lower().split()) for x in names) if n in claim})
         known = {gender[r] for r in roots} - {"unknown", "", None}
         if len(roots) < 2 or len(known) > 1:
             continue
         for r in roots[1:]:
             root[r] = roots[0]
-    return {c["id"]: find(c["id"]) for c in clusters}
+        if canonical:
+            hints.setdefault(roots[0], canonical)
+    found = {c["id"]: find(c["id"]) for c in clusters}
+    return (found, {find(r): n for r, n in hints.items()}) if hinted else found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 import re
 from collections.abc import Callable, Iterable
@@ -10,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.functions.numbers import temperature
 from loomline.functions.strings import content_key
+from loomline.operators.cut import written
 
 Provider = Callable[[str], str | None]
 
@@ -71,33 +74,69 @@ def salvaged(answers: DataFrame, keys: tuple[str, ...] = ("characters", "cast_of
     return answers.select("answer_id", "raw").mapInArrow(run, "answer_id long, entry_no long, name string, aliases array<string>")
 
 
-def called(prompts: DataFrame, provider: Provider, attempts: int = 3) -> DataFrame:
-    """(cache_key, answer) of prompts (cache_key, prompt): an answer that is no JSON is asked for again, then null."""
+ATTEMPTS, FEEDBACK_CHARS, GROWTH = 3, 300, 1.5  # fixed: of one call
 
-    def ask(prompt: str) -> str | None:
-        for _ in range(attempts):
-            answer = provider(prompt)
-            try:
-                json.loads(extract_json(answer or ""))
-                return extract_json(answer or "")
-            except ValueError:
-                continue
-        return None
+
+def _takes_settings(provider) -> bool:
+    """Whether a provider is called with a temperature and a token budget beside the prompt."""
+    try:
+        return len(inspect.signature(provider).parameters) >= 3
+    except (TypeError, ValueError):
+        return False
+
+
+def ask(provider, prompt: str, check=json.loads, salvaged_by=None, attempts: int = ATTEMPTS, budget: int = 8192, most: int = 65536) -> tuple[str | None, str]:
+    """(answer, diagnosis) of one call: the JSON text that passes check, or what salvaged_by makes of the last answer, or
+    null with what went wrong.
+
+    A provider takes a prompt, or a prompt, a temperature and a token budget, and returns a text, or a text and why it
+    ended. An answer that was cut for its length is asked for again as it was, with a budget grown by half, as long as
+    that fits; one that fails the check is asked for again with the error told, and a higher temperature."""
+    hot, told, raw, why = 0, "", "", ""
+    full = _takes_settings(provider)
+    for _ in range(attempts):
+        asked = f"{prompt}\n\nThe answer before was not valid: {told}\nReturn one complete JSON object." if told else prompt
+        got = provider(asked, temperature(hot), budget) if full else provider(asked)
+        raw, end = got if isinstance(got, tuple) else (got, "stop")
+        raw = raw or ""
+        try:
+            text = extract_json(raw)
+            check(text)
+            return text, ""
+        except Exception as e:  # noqa: BLE001 - any failure of a check is one more attempt
+            why = f"{type(e).__name__}: {e}"[:FEEDBACK_CHARS]
+        if end == "length":
+            grown, told = min(int(budget * GROWTH), most), ""
+            if grown <= budget:
+                break
+            budget = grown
+        else:
+            hot, told = hot + 1, why.splitlines()[0]
+    if salvaged_by is not None and (found := salvaged_by(raw)) is not None:
+        return found, ""
+    return None, f"{why} ({len(raw)} characters, budget {budget})"
+
+
+def called(prompts: DataFrame, provider: Provider, check=json.loads, salvaged_by=None) -> DataFrame:
+    """(cache_key, answer) of prompts (cache_key, prompt), each asked for as ask() does; null where nothing could be had."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("cache_key"), pa.array([ask(p) for p in batch.column("prompt").to_pylist()], pa.string())], ["cache_key", "answer"])
+            found = [ask(provider, p or "", check, salvaged_by)[0] for p in batch.column("prompt").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("cache_key"), pa.array(found, pa.string())], ["cache_key", "answer"])
 
     return prompts.select("cache_key", "prompt").mapInArrow(run, "cache_key string, answer string")
 
 
-def answered(rows: DataFrame, prompt: str, schema: str, model: str, provider: Provider, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+def answered(rows: DataFrame, prompt: str, schema: str, model: str, provider: Provider, cache: DataFrame | None, check=json.loads, salvaged_by=None) -> tuple[DataFrame, DataFrame]:
     """rows with answer, and the new rows for the cache (cache_key, answer). Keys are of schema, prompt and model; each
-    missing one is asked for once, and a cached answer that isn't JSON counts as missing."""
+    missing one is asked for once, and a cached answer that isn't JSON counts as missing. The new answers are written
+    before they are used, so no prompt is sent twice. Without a cache (None) all of them are asked for."""
     keyed = rows.withColumn("cache_key", content_key(F.lit(schema), F.col(prompt), F.lit(model)))
-    good = cache.where(F.expr("try_parse_json(answer)").isNotNull())
+    cache = keyed.sparkSession.createDataFrame([], "cache_key string, answer string") if cache is None else cache
+    good = cache.where(F.expr("try_parse_json(answer)").isNotNull()).dropDuplicates(["cache_key"])
     missing = keyed.select("cache_key", F.col(prompt).alias("prompt")).dropDuplicates(["cache_key"]).join(good.select("cache_key"), "cache_key", "left_anti")
-    new = called(missing, provider)
+    new = written(called(missing, provider, check, salvaged_by), "answers")
     return keyed.join(good.select("cache_key", "answer").unionByName(new), "cache_key", "left"), new
 
 

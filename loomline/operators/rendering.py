@@ -146,8 +146,10 @@ def newest(files: DataFrame, key: str) -> DataFrame:
 
 def global_positions(beats: DataFrame, *order: str) -> DataFrame:
     """A book-wide position for beats (chapter_id, ...), in two steps: counts of chapters, then ranks inside each, so no
-    window spans the whole table."""
-    counts = beats.groupBy("chapter_id").agg(F.count("*").alias("n"))
-    before = counts.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("chapter_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("chapter_id", "base")
-    rank = F.row_number().over(Window.partitionBy("chapter_id").orderBy(*order))
-    return beats.join(before, "chapter_id").withColumn("position", (F.col("base") + rank).cast("long")).drop("base")
+    window spans a book's beats. A book is a value of book_id; without that column there is one book."""
+    keys = ["book_id", "chapter_id"] if "book_id" in beats.columns else ["chapter_id"]
+    counts = beats.groupBy(*keys).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*(keys[:-1] or [F.lit(0)])).orderBy("chapter_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select(*keys, "base")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return beats.join(before, keys).withColumn("position", (F.col("base") + rank).cast("long")).drop("base")

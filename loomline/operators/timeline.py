@@ -13,22 +13,25 @@ LEAD_IN, SCENARIO_INTER_SCENE, SHORTEST_CUE = 350, 750, 1500  # fixed: of a scen
 
 def beat_timeline(beats: DataFrame, intra: int = INTRA, inter_scene: int = INTER_SCENE, inter_chapter: int = INTER_CHAPTER) -> DataFrame:
     """beats (chapter_id, scene_id, pos, duration_ms) with start_ms and end_ms. Within a chapter, the gap before a beat
-    depends on whether its scene is new; chapters follow one another in order of their ids after a pause."""
-    order = Window.partitionBy("chapter_id").orderBy("pos")
+    depends on whether its scene is new; the chapters of a book follow one another in order of their ids after a pause. A
+    book is a value of book_id; without that column all chapters are one book's."""
+    keys = ["book_id", "chapter_id"] if "book_id" in beats.columns else ["chapter_id"]
+    order = Window.partitionBy(*keys).orderBy("pos")
     before = F.lag("scene_id").over(order)
     gap = F.when(before.isNull(), 0).when(before == F.col("scene_id"), intra).otherwise(inter_scene)
     local = beats.withColumn("gap", gap.cast("long"))
     local = local.withColumn("end_ms", F.sum(F.col("gap") + F.col("duration_ms")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    offsets = chapter_offsets(local.groupBy("chapter_id").agg(F.max("end_ms").alias("total_ms")), inter_chapter)
-    placed = local.join(offsets.select("chapter_id", "offset_ms"), "chapter_id")
+    offsets = chapter_offsets(local.groupBy(*keys).agg(F.max("end_ms").alias("total_ms")), inter_chapter)
+    placed = local.join(offsets.select(*keys, "offset_ms"), keys)
     placed = placed.withColumn("end_ms", F.col("end_ms") + F.col("offset_ms"))
     return placed.withColumn("start_ms", F.col("end_ms") - F.col("duration_ms")).drop("gap", "offset_ms")
 
 
 def chapter_offsets(totals: DataFrame, inter_chapter: int = INTER_CHAPTER) -> DataFrame:
-    """totals (chapter_id, total_ms) with offset_ms, a pause after every chapter but the last. One row a chapter, so
-    the global order is over the chapters of a book alone."""
-    before = Window.orderBy("chapter_id").rowsBetween(Window.unboundedPreceding, -1)
+    """totals (chapter_id, total_ms) with offset_ms, a pause after every chapter but the last. The order is over the
+    chapters of a book (book_id; without that column, of the one book that there is), one row each."""
+    book = ["book_id"] if "book_id" in totals.columns else [F.lit(0)]
+    before = Window.partitionBy(*book).orderBy("chapter_id").rowsBetween(Window.unboundedPreceding, -1)
     return totals.withColumn("offset_ms", F.coalesce(F.sum(F.col("total_ms") + inter_chapter).over(before), F.lit(0)).cast("long"))
 
 
@@ -115,14 +118,16 @@ def nearest_beats(marks: DataFrame, beats: DataFrame, key: str) -> DataFrame:
 
 
 def visual_placement(elements: DataFrame, beats: DataFrame, key: str) -> DataFrame:
-    """elements (key, element_no, after_paragraph) with the last beat up to that paragraph, the first one after it, and
-    when the element shows: at the start of the next beat, else the end of the one before."""
-    near = elements.join(beats.select(key, "pos", "source_paragraph", "start_ms", "end_ms"), key, "left")
-    upto, later = F.col("source_paragraph") <= F.col("after_paragraph"), F.col("source_paragraph") > F.col("after_paragraph")
-    found = near.groupBy(key, "element_no", "after_paragraph").agg(
-        F.max_by("pos", F.when(upto, F.col("pos"))).alias("after_pos"),
-        F.min_by("pos", F.when(later, F.col("pos"))).alias("before_pos"),
-        F.max_by("end_ms", F.when(upto, F.col("pos"))).alias("after_end"),
-        F.min_by("start_ms", F.when(later, F.col("pos"))).alias("before_start"),
-    )
-    return found.select(key, "element_no", "after_paragraph", "after_pos", "before_pos", F.when(F.col("after_pos").isNull(), 0).otherwise(F.coalesce("before_start", "after_end")).cast("long").alias("trigger_ms"))
+    """elements (key, element_no, after_paragraph) with the last beat up to that paragraph in playback order, the first one
+    after it, and when the element shows: at the start of the next beat, else the end of the one before; at 0 before any.
+
+    Beats (key, pos, source_paragraph, start_ms, end_ms) and elements meet in one sort by paragraph, in which the last beat
+    so far is a running maximum of positions, and the first one to come a running minimum from the other end."""
+    beat = F.struct(F.col("pos").cast("long").alias("pos"), "start_ms", "end_ms")
+    rows = beats.select(key, F.col("source_paragraph").cast("long").alias("x"), F.lit(0).alias("rank"), F.lit(None).cast("long").alias("element_no"), beat.alias("beat"))
+    none = F.lit(None).cast(rows.schema["beat"].dataType)
+    rows = rows.unionByName(elements.select(key, F.col("after_paragraph").cast("long").alias("x"), F.lit(1).alias("rank"), F.col("element_no").cast("long").alias("element_no"), none.alias("beat")))
+    order = Window.partitionBy(key).orderBy("x", "rank")
+    placed = rows.withColumns({"upto": F.max("beat").over(order.rowsBetween(Window.unboundedPreceding, -1)), "later": F.min("beat").over(order.rowsBetween(1, Window.unboundedFollowing))})
+    trigger = F.when(F.col("upto").isNull(), 0).otherwise(F.coalesce("later.start_ms", "upto.end_ms")).cast("long")
+    return placed.where("rank = 1").select(key, "element_no", F.col("x").alias("after_paragraph"), F.col("upto.pos").alias("after_pos"), F.col("later.pos").alias("before_pos"), trigger.alias("trigger_ms"))

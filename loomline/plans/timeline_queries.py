@@ -1,8 +1,8 @@
-"""Queries on timelines. Chapters are ten conversations each, scenes conversations, beats their turns."""
+"""Queries on timelines. Books are twenty chapters each, chapters ten conversations, scenes conversations, beats their turns."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import ms
@@ -10,18 +10,18 @@ from loomline.operators import timeline
 from loomline.plans.registry import query, table
 from loomline.plans.text_queries import ITEMS, script_items
 
-BEATS = """SELECT conv_id // 10 AS chapter_id, conv_id AS scene_id, conv_id * 10000 + turn AS pos, role, text, CAST((length(text) * 1000) // 12 AS BIGINT) AS duration_ms FROM conversations"""
+BEATS = """SELECT conv_id // 200 AS book_id, conv_id // 10 AS chapter_id, conv_id AS scene_id, conv_id * 10000 + turn AS pos, role, text, CAST((length(text) * 1000) // 12 AS BIGINT) AS duration_ms FROM conversations"""
 TIMELINE = f"""
     b AS ({BEATS}),
     g AS (SELECT *, CASE WHEN lag(scene_id) OVER w IS NULL THEN 0 WHEN lag(scene_id) OVER w = scene_id THEN 250 ELSE 1000 END AS gap FROM b WINDOW w AS (PARTITION BY chapter_id ORDER BY pos)),
     l AS (SELECT *, sum(gap + duration_ms) OVER (PARTITION BY chapter_id ORDER BY pos) AS e FROM g),
-    o AS (SELECT chapter_id, coalesce(sum(t + 2000) OVER (ORDER BY chapter_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM (SELECT chapter_id, max(e) AS t FROM l GROUP BY chapter_id)),
-    timeline AS (SELECT chapter_id, scene_id, pos, role, text, duration_ms, CAST(e + o - duration_ms AS BIGINT) AS start_ms, CAST(e + o AS BIGINT) AS end_ms FROM l JOIN o USING (chapter_id))"""
+    o AS (SELECT chapter_id, coalesce(sum(t + 2000) OVER (PARTITION BY book_id ORDER BY chapter_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM (SELECT book_id, chapter_id, max(e) AS t FROM l GROUP BY book_id, chapter_id)),
+    timeline AS (SELECT book_id, chapter_id, scene_id, pos, role, text, duration_ms, CAST(e + o - duration_ms AS BIGINT) AS start_ms, CAST(e + o AS BIGINT) AS end_ms FROM l JOIN o USING (chapter_id))"""
 
 
 def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    return turns.select(F.floor(F.col("conv_id") / 10).alias("chapter_id"), F.col("conv_id").alias("scene_id"), (F.col("conv_id") * 10000 + F.col("turn")).alias("pos"), "role", "text", ms(F.col("text")).alias("duration_ms"))
+    return turns.select(F.floor(F.col("conv_id") / 200).alias("book_id"), F.floor(F.col("conv_id") / 10).alias("chapter_id"), F.col("conv_id").alias("scene_id"), (F.col("conv_id") * 10000 + F.col("turn")).alias("pos"), "role", "text", ms(F.col("text")).alias("duration_ms"))
 
 
 @query(f"WITH {TIMELINE} SELECT chapter_id, scene_id, pos, start_ms, end_ms FROM timeline")
@@ -52,10 +52,8 @@ def beat_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH b AS ({BEATS})
-    SELECT chapter_id, pos, CAST(row_number() OVER (PARTITION BY chapter_id ORDER BY pos) AS BIGINT) AS n, CAST(row_number() OVER (ORDER BY chapter_id, pos) AS BIGINT) AS position FROM b""")
+    SELECT chapter_id, pos, CAST(row_number() OVER (PARTITION BY chapter_id ORDER BY pos) AS BIGINT) AS n, CAST(row_number() OVER (PARTITION BY book_id ORDER BY chapter_id, pos) AS BIGINT) AS position FROM b""")
 def book_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     from loomline.operators.rendering import global_positions
 
     out = global_positions(beats(spark, sf_dir), "pos")
@@ -87,8 +85,6 @@ LINES = f"""
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     items = script_items(spark, sf_dir).select(F.col("conv_id").alias("scene_id"), "item_no", "type", "text")
     line = F.sum(F.when(F.col("type") == "dialogue", 1).otherwise(0)).over(Window.partitionBy("scene_id").orderBy("item_no")).cast("int")
     chunks = items.withColumn("line_no", line).where("type = 'dialogue'")
@@ -120,7 +116,7 @@ def play_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {TIMELINE}, p AS (SELECT chapter_id, k, start + k * 30000 AS t FROM (SELECT chapter_id, min(start_ms) AS start, max(end_ms) AS stop FROM timeline GROUP BY chapter_id), range(0, 400) r(k) WHERE start + k * 30000 < stop)
+    WITH {TIMELINE}, p AS (SELECT chapter_id, k, start + k * 30000 AS t FROM (SELECT chapter_id, min(start_ms) AS start, max(end_ms) AS stop FROM timeline GROUP BY chapter_id), range(0, (SELECT max(end_ms) // 30000 + 1 FROM timeline)) r(k) WHERE start + k * 30000 < stop)
     SELECT p.chapter_id, CAST(p.t AS BIGINT) AS t, b.pos FROM p JOIN timeline b ON b.chapter_id = p.chapter_id AND b.start_ms <= p.t AND p.t < b.end_ms""")
 def active_beat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What plays at every half minute of a chapter."""
@@ -143,16 +139,15 @@ def image_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {TIMELINE}, v AS (SELECT *, row_number() OVER (PARTITION BY chapter_id ORDER BY pos) - 1 AS p FROM timeline), e AS (SELECT DISTINCT chapter_id, k AS element_no, k * 10 - 1 AS q FROM timeline, range(0, 8) r(k)),
+    WITH {TIMELINE}, v AS (SELECT *, row_number() OVER (PARTITION BY chapter_id ORDER BY pos) - 1 AS p FROM timeline), e AS (SELECT chapter_id, p // 10 AS element_no, p - 1 AS q FROM v WHERE p % 10 = 0 UNION ALL SELECT chapter_id, 1000000, max(p) + 5 FROM v GROUP BY chapter_id),
     f AS (SELECT e.chapter_id, element_no, q, max(pos) FILTER (p <= q) AS after_pos, min(pos) FILTER (p > q) AS before_pos FROM e LEFT JOIN v USING (chapter_id) GROUP BY ALL)
     SELECT f.chapter_id, CAST(element_no AS BIGINT) AS element_no, CAST(q AS BIGINT) AS after_paragraph, after_pos, before_pos,
            CAST(CASE WHEN after_pos IS NULL THEN 0 ELSE coalesce(y.start_ms, x.end_ms) END AS BIGINT) AS trigger_ms
     FROM f LEFT JOIN timeline x ON x.pos = after_pos LEFT JOIN timeline y ON y.pos = before_pos""")
 def visual_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight elements a chapter, from before its first beat to beyond its last."""
-    from pyspark.sql import Window
-
+    """An element before every tenth beat of a chapter, and one beyond its last."""
     placed = timeline.beat_timeline(beats(spark, sf_dir))
     placed = placed.withColumn("source_paragraph", F.row_number().over(Window.partitionBy("chapter_id").orderBy("pos")) - 1)
-    elements = placed.select("chapter_id").distinct().select("chapter_id", F.explode(F.expr("sequence(0L, 7L)")).alias("element_no"))
-    return timeline.visual_placement(elements.withColumn("after_paragraph", F.col("element_no") * 10 - 1), placed, "chapter_id")
+    elements = placed.where("source_paragraph % 10 = 0").select("chapter_id", F.floor(F.col("source_paragraph") / 10).alias("element_no"), (F.col("source_paragraph") - 1).cast("long").alias("after_paragraph"))
+    last = placed.groupBy("chapter_id").agg((F.max("source_paragraph") + 5).cast("long").alias("after_paragraph")).select("chapter_id", F.lit(1_000_000).cast("long").alias("element_no"), "after_paragraph")
+    return timeline.visual_placement(elements.unionByName(last), placed, "chapter_id")
