@@ -106,7 +106,7 @@ def test_page_blocks():
     assert [pages.kind_of(b) for b in tree.blocks] == ["prose", "prose", "code", "table", "figure", "prose"]
     nested = pages.parsed("<blockquote><p>a</p><p>b</p></blockquote>")
     assert [b["text"] for b in nested.blocks] == ["a b"]
-    assert pages.parsed("<p>To S<small>PACE</small><br>The end.</p>").blocks[0]["text"] == "To S PACE The end."
+    assert pages.parsed("<p>One<i>two</i> three<br>four <b>five</b>.</p>").blocks[0]["text"] == "One two three four five ."
     assert pages.parsed("<body><!-- no --><script>x</script><p>a</p><p>b</p></body>").nodes == ["a", "b"]
     assert pages.code_language("x language-rust") == "rust"
 
@@ -118,7 +118,7 @@ def test_alignment():
     shadow = alignment.normal_with_map(text)[0]
     out = alignment.align_chapter([("The first line is here.", None), ("The first line is here.", None), ("never there at all, not a bit", None), ("End.", None)], shadow)
     assert out[0][:2] == (0, 23) and out[1][:2] == (24, 47) and out[2] is None and out[3][2] == "exact"
-    assert alignment.wrapped("abcdef", [(1, 3, "x"), (2, 5, "y")]) == 'a<span class="beat" id="x">bc</span><span class="beat" id="y">de</span>f'
+    assert alignment.wrapped("abcdef", [(1, 3, "x"), (2, 5, "y")]) == 'a<span class="beat" data-beat-id="x">bc</span><span class="beat" data-beat-id="y">de</span>f'
 
 
 def test_trim():
