@@ -92,17 +92,41 @@ def ladder_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(ladder_rows(table(spark, sf_dir, "documents")))
 
 
-@query()
+# The given pages have a head, and a body of plain tags, comments and few entities; some end in the middle.
+_BODY = "regexp_replace(regexp_replace(html, '(?s)^.*</head>', ''), '(?s)<!--.*?-->', chr(1), 'g')"
+_TEXT = "replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+_SHOWN = f"trim(regexp_replace({_TEXT.format("regexp_replace({0}, '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g'))"
+
+
+@query(f"""
+    WITH b AS (SELECT page_id, string_split(replace({_BODY}, chr(1), ' '), '<p>') AS ps FROM pages),
+    t AS (SELECT page_id, 0 AS k, 'ul' AS tag, split_part(split_part(ps[1], '<ul>', 2), '</ul>', 1) AS x FROM b UNION ALL SELECT page_id, generate_subscripts(ps, 1), 'p', split_part(split_part(unnest(ps), '</p>', 1), '</article>', 1) FROM b),
+    n AS (SELECT page_id, k, tag, {_SHOWN.format('x')} AS text FROM t WHERE k <> 1)
+    SELECT page_id, CAST(row_number() OVER w - 1 AS BIGINT) AS block_no, tag, 'prose' AS kind, '' AS language, text, CAST(row_number() OVER w - 1 AS BIGINT) AS after_paragraph FROM n WHERE text <> '' WINDOW w AS (PARTITION BY page_id ORDER BY k)""")
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.block_positions(pages.resolved(pages.page_blocks(table(spark, sf_dir, "pages"))))
 
 
-@query()
+@query("""
+    SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'stem' WHEN 1 THEN 'landmark' WHEN 2 THEN 'boilerplate' WHEN 3 THEN 'nav' WHEN 4 THEN 'heading'
+        WHEN 6 THEN CASE WHEN length(html) - length(replace(html, '<a ', '..')) >= 5 THEN 'links' END END AS reason FROM pages""")
 def page_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.page_drops(table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"([^/?#]*)(?:[?#].*)?$", 1).alias("stem"), "html"))
+    """Pages made to break each rule by their numbers: a stem, a type, a class, no paragraphs, a heading, links alone."""
+    v, html = F.col("page_id") % 8, F.col("html")
+    shaped = (
+        F.when(v == 1, F.replace(html, F.lit("<article>"), F.lit('<section epub:type="index">'))).when(v == 2, F.replace(html, F.lit("<article>"), F.lit('<article class="x pg-boilerplate">')))
+        .when(v == 3, F.regexp_replace(html, "</?p>", "")).when(v == 4, F.regexp_replace(html, "<h1>[^<]*</h1>", "<h3>Table of  Contents.</h3>"))
+        .when(v == 5, F.regexp_replace(html, "</?(?:p|nav)>", "")).when(v == 6, F.regexp_extract(html, "(?s)<nav>(.*)</nav>", 1)).otherwise(html)
+    )
+    stem = F.when(v == 0, "toc-2").when(v == 7, "coverage").otherwise("chapter")
+    return pages.page_drops(table(spark, sf_dir, "pages").select("page_id", stem.alias("stem"), shaped.alias("html")))
 
 
-@query()
+@query(f"""
+    WITH t AS (SELECT page_id, generate_subscripts(xs, 1) AS k, {_TEXT.format('unnest(xs)')} AS raw FROM (SELECT page_id, string_split_regex({_BODY}, '<[^>]*>|' || chr(1)) AS xs FROM pages)),
+    n AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS node_no, raw, regexp_replace(lower(translate(raw, '‘’‚‛“”„«»–—‒―−', {STRAIGHT})), '\\s+', ' ', 'g') AS norm FROM t WHERE trim(raw) <> ''),
+    s AS (SELECT *, sum(length(norm) + CASE WHEN norm LIKE '% ' THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY node_no) - length(norm) - CASE WHEN norm LIKE '% ' THEN 0 ELSE 1 END AS s FROM n)
+    SELECT page_id, CAST(node_no AS BIGINT) AS node_no, CAST(s AS BIGINT) AS s, CAST(s + length(norm) AS BIGINT) AS e, raw FROM s""")
 def page_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_shadow(table(spark, sf_dir, "pages"))
 
