@@ -131,12 +131,14 @@ def _encoder(vocabulary: str):
     vocabulary several times as fast; any other file goes to tokenizers itself, and so does a text that holds one of
     the file's added tokens.
     """
-    from tokenizers import Tokenizer
-
-    slow = Tokenizer.from_str(vocabulary)
+    held: list = []  # the file's own tokenizer, once it is needed
 
     def exact(text: str) -> np.ndarray:
-        return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        if not held:
+            from tokenizers import Tokenizer
+
+            held.append(Tokenizer.from_str(vocabulary))
+        return np.array(held[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
     spec = json.loads(vocabulary)
     model, split = spec["model"], spec.get("pre_tokenizer") or {}
