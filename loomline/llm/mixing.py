@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from loomline.llm.hashing import groups_of, mix, texts_of, words
 from loomline.llm.linear import fit, softmax
 from loomline.llm.sampling import sample_ids
-from loomline.llm.shared import only, written
+from loomline.llm.shared import only, sparing, written
 
 WIDTH = 1 << 17
 SAMPLE = 6000  # labelled documents that the classifier is learned from, at most
@@ -80,7 +80,7 @@ def learned(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Domai
     ids = sample_ids(labelled, sample)
     marks = {r.doc_id: r.domain for r in labelled.join(F.broadcast(ids), "doc_id").collect()}  # at most sample rows
     texts = only(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    rows = sorted({(r["doc_id"], r["places"]) for r in texts.mapInArrow(_sampled, "doc_id long, places binary").toArrow().to_pylist()}, key=lambda r: (mix(np.array([r[0]], np.int64).view(np.uint64))[0], r[1]))
+    rows = sorted({(r["doc_id"], r["places"]) for r in texts.mapInArrow(sparing(_sampled), "doc_id long, places binary").toArrow().to_pylist()}, key=lambda r: (mix(np.array([r[0]], np.int64).view(np.uint64))[0], r[1]))
     names = sorted({marks[d] for d, _ in rows})
     data = []
     for doc, places in rows:
@@ -101,7 +101,7 @@ def memberships(docs: DataFrame, domains: Domains) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for _, n in found], pa.int64()), pa.array([p.tolist() for p, _ in found], pa.list_(pa.float64()))], ["doc_id", "tokens", "posterior"])
 
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(run, "doc_id long, tokens long, posterior array<double>")
+    return docs.mapInArrow(sparing(run), "doc_id long, tokens long, posterior array<double>")
 
 
 def _after(steps: list[list[float]]) -> F.Column:

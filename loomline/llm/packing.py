@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.shared import only
+from loomline.llm.shared import only, sparing
 
 CAPACITY = 2048
 PIECE = 512
@@ -200,4 +200,4 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     with open(tokenizer_path, encoding="utf-8") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(_pack(vocabulary, capacity, end_id), SCHEMA)
+    return docs.mapInArrow(sparing(_pack(vocabulary, capacity, end_id)), SCHEMA)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.shared import only
+from loomline.llm.shared import only, sparing
 
 ROUNDS = 8
 
@@ -399,7 +399,7 @@ def with_pseudonyms(docs: DataFrame, key: bytes, column: str = "text", counts: b
     kept = [c for c in docs.columns if not counts or c not in added]
     plain = docs.select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") if c == column else F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in plain.schema] + [f"c{len(kept) + i} long" for i in range(len(KINDS))])
-    out = plain.mapInArrow(_apply(key, kept.index(column)), schema)
+    out = plain.mapInArrow(sparing(_apply(key, kept.index(column))), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept + (added if counts else []))])
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm.hashing import groups_of, mix, texts_of, words
 from loomline.llm.sampling import fold, sample_ids
-from loomline.llm.shared import only
+from loomline.llm.shared import only, sparing
 
 SAMPLE = 5000  # labelled documents that the field is learned from, at most
 SEGMENT = 64  # lines in a row of which learning sees the chain
@@ -191,7 +191,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field |
     ids = sample_ids(labels, sample)
     marks = {r.doc_id: r.quality for r in labels.join(F.broadcast(ids), "doc_id").collect()}  # at most sample rows
     texts = only(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    rows = texts.mapInArrow(_lines, "doc_id long, lines binary").toArrow().to_pylist()
+    rows = texts.mapInArrow(sparing(_lines), "doc_id long, lines binary").toArrow().to_pylist()
     rows = sorted((r["doc_id"], r["lines"]) for r in rows if r["lines"])
     data = [(np.frombuffer(x, np.float32).reshape(-1, len(FEATURES)).astype(float), marks[d]) for d, x in rows]
     return fit(data) if len({y for _, y in data}) == 2 else None
@@ -212,7 +212,7 @@ def scored(docs: DataFrame, field: Field | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return docs.mapInArrow(sparing(run), "doc_id long, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:

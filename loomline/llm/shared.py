@@ -1,47 +1,21 @@
-"""Reading tables, and the folder that the driver and all executors share."""
+"""Reading tables, the folder that the driver and all executors share, and the memory of Python workers."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import ctypes
+import functools
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dirs: list[tempfile.TemporaryDirectory] = []
+from loomline.operators.cut import shared_dir, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset, a temporary one of a local session. Executors of
-    a cluster could not see that, so there it is an error."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    if not _own_dirs:
-        _own_dirs.append(tempfile.TemporaryDirectory(prefix="loomline-", ignore_cleanup_errors=True))
-        atexit.register(_own_dirs[0].cleanup)
-    return f"file://{_own_dirs[0].name}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet in the shared folder and reads it back.
-
-    Unlike checkpoint(), this computes df once and compresses what it keeps, and Spark's commit protocol
-    makes it safe against lost executors and repeated tasks.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomline/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -51,4 +25,27 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-__all__ = ["only", "partitions", "shared_dir", "table", "written"]
+def _give_back() -> None:
+    """Returns to the system what this process has freed but still holds."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def sparing(run):
+    """run, a function of Arrow batches, after whose last batch the worker gives its free memory back: workers live on and
+    serve the next stages beside others of their executor."""
+
+    @functools.wraps(run)
+    def spared(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return spared
+
+
+__all__ = ["only", "partitions", "shared_dir", "sparing", "table", "written"]
