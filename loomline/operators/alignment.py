@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.operators.cut import spread
+
 HEAD, TAIL, SHORT = 30, 30, 60  # fixed: anchors, and what is searched for whole
 FORWARD, BACKTRACK, SLACK, ROUNDS = 8000, 1500, 2000, 3  # fixed: search bounds
 FUZZY_WINDOW, FUZZY_SHARE, FUZZY_LEAST = 3000, 0.20, 20  # fixed
@@ -183,7 +185,7 @@ def anchored_matches(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     A document and its beats share a row, so each text is normalised once and nothing is joined. Null texts and blank
     beats match nothing."""
     forms = F.transform("beats", lambda b: F.struct(b["pos"].alias("pos"), normal_text(b["text"]).alias("needle")))
-    rows = docs.select(F.col(key).cast("long").alias(key), forms.alias("beats"), normal_text(F.col("text")).alias("shadow"))
+    rows = spread(docs).select(key, forms.alias("beats"), normal_text(F.col("text")).alias("shadow"))
 
     def run(batches):
         for batch in batches:
@@ -192,9 +194,9 @@ def anchored_matches(docs: DataFrame, key: str = "doc_id") -> DataFrame:
                 for b in found or ():
                     needle = b["needle"] or ""
                     out.append((k, b["pos"], *((needle and strict(needle, shadow or "", 0, len(shadow or ""))) or (None, None, "none"))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(MATCH)], [key, "pos", "s", "e", "confidence"])
+            yield _match_batch(out, key, batch.schema.field(key).type)
 
-    return rows.mapInArrow(run, f"{key} long, pos long, s long, e long, confidence string")
+    return rows.mapInArrow(run, _match_schema(docs, key))
 
 
 def match_histogram(matches: DataFrame) -> DataFrame:
@@ -217,7 +219,17 @@ def overlapping(segments: DataFrame, matches: DataFrame, key: str, bucket: int =
     return both.where(F.col("bucket") == first).select(key, "seg_no", "match_no", F.greatest("a", "c").alias("s"), F.least("b", "d").alias("e"))
 
 
-MATCH = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+_FOUND = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+
+
+def _match_batch(rows: list[tuple], key: str, kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((kind, *_FOUND))], [key, "pos", "s", "e", "confidence"])
+
+
+def _match_schema(docs: DataFrame, key: str) -> str:
+    return f"{key} {docs.schema[key].dataType.simpleString()}, pos long, s long, e long, confidence string"
+
+
 Match = tuple[int, int, str]
 
 
@@ -357,10 +369,10 @@ def aligned(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             for k, items, text in zip(*(batch.column(c).to_pylist() for c in (key, "beats", "text")), strict=True):
                 found = align_chapter([(b["text"] or "", b["source_span"]) for b in items or ()], normal_with_map(text or "")[0])
                 rows = [(k, b["pos"], *(m or (None, None, "none"))) for b, m in zip(items or (), found, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(MATCH)], [key, "pos", "s", "e", "confidence"])
+                yield _match_batch(rows, key, batch.schema.field(key).type)
 
-    rows = docs.select(F.col(key).cast("long").alias(key), "beats", "text")
-    return rows.mapInArrow(run, f"{key} long, pos long, s long, e long, confidence string")
+    rows = spread(docs).select(key, "beats", "text")
+    return rows.mapInArrow(run, _match_schema(docs, key))
 
 
 class _Source(HTMLParser):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.operators import alignment, pages, providers, rendering, segments
+from loomline.operators.cut import spread
 from loomline.plans.registry import query, table
 from loomline.plans.text_queries import PACKED_CTES
 
@@ -37,7 +38,7 @@ ANCHORED = f"""
 
 
 def _anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     pieces = docs.select("doc_id", "text", segments.chapter_pieces(F.col("text"), "\n").alias("pieces"))
     piece = F.transform("pieces", lambda t, i: F.struct((i * 2).cast("long").alias("pos"), t.alias("text")))
     cut = F.transform("pieces", lambda t, i: F.struct((i * 2 + 1).cast("long").alias("pos"), F.concat(F.left(t, F.lit(100)), F.lit(" never there")).alias("text")))
@@ -82,7 +83,7 @@ def ladder_rows(docs: DataFrame) -> DataFrame:
         text = F.when((i % 3 == 0) & (F.length(t) > 100), cut(t)).otherwise(t)
         return F.struct(i.cast("long").alias("pos"), text.alias("text"), F.when(i % 2 == 0, t).alias("source_span"))
 
-    pieces = docs.select("doc_id", "text", segments.chapter_pieces(F.col("text"), "\n").alias("pieces"))
+    pieces = spread(docs.select("doc_id", "text")).select("doc_id", "text", segments.chapter_pieces(F.col("text"), "\n").alias("pieces"))
     return pieces.select("doc_id", "text", F.transform("pieces", beat).alias("beats"))
 
 

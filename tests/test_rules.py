@@ -75,6 +75,12 @@ def test_ladder_against_plain_rules(spark):
     assert n > 1000
 
 
+def test_chapters_may_be_named_by_texts(spark):
+    rows = spark.createDataFrame([("c1", "One line here.", [(0, "one  line", None)])], "chapter_id string, text string, beats array<struct<pos:long,text:string,source_span:string>>")
+    assert [tuple(r) for r in alignment.aligned(rows, "chapter_id").collect()] == [("c1", 0, 0, 8, "exact")]
+    assert [tuple(r) for r in alignment.anchored_matches(rows, "chapter_id").collect()] == [("c1", 0, 0, 8, "exact")]
+
+
 def test_ladder_on_random_texts():
     rng = random.Random(4)
     for _ in range(60):
