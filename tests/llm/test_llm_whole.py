@@ -84,6 +84,17 @@ def test_rows_of_one_id_with_different_texts_stay(spark):
     assert sorted(r.component_id for r in found) == [1, 1, 1, 1, 5, 5, 5, 5]
 
 
+def test_near_duplicates_with_many_keys(spark, monkeypatch):
+    words = [[f"{x}{i}" for i in range(40)] for x in "abcdefgh"]
+    rows = [(n * 10 + k, " ".join([f"{n}x{k}", *w[1:]] if k else w)) for n, w in enumerate(words) for k in range(n)] + [(5, None), (None, "a b c"), (3, "a b c"), (10, " ".join(words[1])), (3, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = lambda df: sorted(df.collect(), key=str)
+    want = plain(ngram_join.near_duplicates(docs)), plain(ngram_join.without_near_duplicates(docs))
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    assert (plain(ngram_join.near_duplicates(docs)), plain(ngram_join.without_near_duplicates(docs))) == want
+    assert len(want[1]) < len(rows) - 5
+
+
 @pytest.mark.parametrize("unit", ["<a ", '<a x="', "<div class=ad>", "<div></p>", '<a b=">" ', "<script ", "</script ", "<"])
 def test_broken_pages_take_linear_time(unit):
     began = time.perf_counter()
