@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.operators.alignment import normal_with_map
+from loomline.operators.alignment import normal_with_map, plain_ampersands
 
 BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "table", "figure", "blockquote", "ul", "ol", "aside", "math")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "image", "input", "link", "meta", "source", "track", "wbr"}
@@ -109,7 +109,7 @@ class Tree(HTMLParser):
 
 def parsed(html: str) -> Tree:
     tree = Tree()
-    tree.feed(html)
+    tree.feed(plain_ampersands(html))
     tree.close()
     return tree
 

@@ -127,6 +127,17 @@ def test_wrapping_keeps_the_page(spark):
     assert found[1].html == page and found[2].html is None and found[3].n_beats == 1
 
 
+def test_references_need_their_semicolon(spark):
+    page = "<body><h1>A &amp;&amp</h1><p>b &copy 1 &copy; &#65; &#x42 &notit; &amp;lt; &</p><p>c&am</body>"
+    nodes = pages.page_shadow(spark.createDataFrame([(1, page)], "page_id long, html string")).orderBy("node_no").collect()
+    assert [n.raw for n in nodes] == ["A &&amp", "b &copy 1 © A &#x42 &notit; &lt; &", "c&am"]
+    assert [(n.s, n.e) for n in nodes] == [(0, 7), (8, 42), (43, 47)]
+    out = alignment.wrapped(page, [(n.s, n.e, f"b{n.node_no}") for n in nodes])
+    import re
+
+    assert re.findall(r'data-beat-id="b\d+">([^<]*)</span>', out) == ["A &amp;&amp", "b &copy 1 &copy; &#65; &#x42 &notit; &amp;lt; &", "c&am"]
+
+
 def test_span_matches_in_slices(spark, monkeypatch):
     docs = table(spark, SMALL, "documents")
     spans = table(spark, SMALL, "benchmark")
